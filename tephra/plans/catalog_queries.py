@@ -1,2 +1,6 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""All queries of the climate operators, and their SQL."""
+
+from . import series_queries, subset_queries  # noqa: F401  register on import
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
