@@ -112,19 +112,22 @@ class Model:
         return [self.langs[i] for i in best], score.astype(float).tolist()
 
 
-def fit(docs: DataFrame, train, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", landmarks: int = 256, per_lang: int = 500, ridge: float = 1e-4) -> Model:
-    """Learns from at most per_lang training texts of each language, those with the least hash of their id."""
+def fit(docs: DataFrame, train, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", landmarks: int = 256, per_lang: int = 500, most_langs: int = 1000, ridge: float = 1e-4) -> Model:
+    """Learns from at most per_lang training texts of each language, those with the least hash of their id, and the most_langs languages with most texts."""
     known = docs.where(train & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"))
     draw = F.xxhash64(F.col("doc_id"), F.lit(7))
-    few = known.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", F.crc32(F.col("text").cast("binary"))))).where(F.col("at") <= per_lang).select("lang", "at", "text").toArrow()
+    rows = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    # about 4 * per_lang texts of a language pass, whatever its share, so no text beyond those meets a shuffle
+    known = known.join(F.broadcast(rows), "lang").where(F.pmod(draw, F.lit(1 << 30)) * F.col("n") < F.lit(4 * per_lang * (1 << 30)))
+    few = known.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(draw, F.lit(1 << 30)), "doc_id", F.crc32(F.col("text").cast("binary"))))).where(F.col("at") <= per_lang).select("lang", "at", "text").toArrow()
     few = few.sort_by([("lang", "ascending"), ("at", "ascending")])
     return Model(as_bytes(few["text"]).to_pylist(), few["lang"].to_pylist(), landmarks, ridge)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list | None = None, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """The columns `keep` (default: all) of docs with the predicted language and its score."""
+    """The columns `keep` (default: all, but for those that the new ones replace) of docs with the predicted language and its score."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most 16.8 million codes, in practice some ten thousand
-    keep = [F.col(c) for c in docs.columns] if keep is None else keep
+    keep = [F.col(c) for c in docs.columns if c not in (lang_col, score_col)] if keep is None else keep
     rows = docs.select(*keep)
     need = docs.select(*keep, F.col(text).alias("__text"))
 
