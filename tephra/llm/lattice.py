@@ -273,7 +273,7 @@ def lattice_scores(docs: DataFrame, path: str, train, doc_id: str = "doc_id", te
     hot_c, hot_lp = top["c"].to_numpy(np.int64), top["lp"].to_numpy(float)
     shipped = docs.sparkSession.sparkContext.broadcast((hot, np.log10(hot_c + 1.0), hot_c > 0, hot_lp))  # at most `common` words
     end_lp = float(logp[-1]) / math.log(10)
-    end_c = int(next(iter(top.loc[top["word"] == END, "c"]), 0))
+    end_c = int((words.where(F.col("word") == END).select("c").first() or [0])[0])
     names = ["key", "word", "n", "doc_id", "held_out", "n_tokens", "n_known", "base", "lp"]
 
     def score(batches):

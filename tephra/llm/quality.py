@@ -134,9 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame, train, text: str = "text", doc_id: s
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", n_chars: str = "n_chars", keep: list | None = None, score_col: str = "score") -> DataFrame:
-    """The columns `keep` (default: all) of docs with the score."""
+    """The columns `keep` (default: all, but for one that the score replaces) of docs with the score."""
     shipped = docs.sparkSession.sparkContext.broadcast(machine)  # BUCKETS x (RANK + 1) numbers
-    keep = [F.col(c) for c in docs.columns] if keep is None else keep
+    keep = [F.col(c) for c in docs.columns if c != score_col] if keep is None else keep
     n = F.col(n_chars).cast("long") if n_chars in docs.columns else F.lit(None).cast("long")
 
     def run(batches):

@@ -51,11 +51,11 @@ def op8_mih_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH bits AS (
-  SELECT vec_id, list_transform(range(1, 65), i -> coalesce(embedding[i], 0) > 0) AS b
+  SELECT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i], 0) > 0) AS b
   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
 pairs AS (
   SELECT q.vec_id AS query_id, x.vec_id AS id,
-         CAST(list_sum(list_transform(range(1, 65), i -> CAST(q.b[i] <> x.b[i] AS INT))) AS INT) AS distance
+         CAST(list_sum(list_transform(range(1, 65), lambda i: CAST(q.b[i] <> x.b[i] AS INT))) AS INT) AS distance
   FROM bits q CROSS JOIN bits x WHERE q.vec_id % 50 = 0),
 ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INT) AS rank FROM pairs)
