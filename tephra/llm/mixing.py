@@ -12,7 +12,7 @@ ids are each rounded; with no words at all every target is 0; an empty table giv
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -74,10 +74,15 @@ def pivot(size: np.ndarray, p: np.ndarray, draw) -> np.ndarray:
     return p
 
 
+def mark_of(text: str, source: str) -> Column:
+    """Tells rows of one id apart by their text and source."""
+    return F.xxhash64(F.col(text), F.col(source), F.col(text).isNull())
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 5) -> DataFrame:
     """A row for each document: doc_id, size, source_size, target, taken; and copies, at most `most`, rounded up."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(text).alias("mark")))
+    rows = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"), mark_of(text, source).alias("mark")))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     goal = cut(targets(sums, weights, share, most).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)).cast("long")).withColumn("sid", F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))))
     same = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
