@@ -7,6 +7,8 @@ they differ in at most r // b bits, so b trees, one for each block, with that sm
 point on each level and deals a block's words to rings by their distance to it; by the triangle inequality, words within radius q of each other lie in
 rings whose distances differ by at most q. A word is stored in the leaf of its own rings and asks each leaf whose rings its ball overlaps.
 Blocks of 13 bits and radius 4 give q = 0: a word asks one leaf for each block. Pairs found in a leaf are verified on all 64 bits.
+More words need finer leaves: with b blocks of which two such words share at least m = b - r, a tree for every choice of m blocks finds every pair,
+again with q = 0, over m / b of the bits. The number of words decides b; every choice finds all pairs.
 
 Rules for odd input: null and empty texts have fingerprint 0 and link like any other; repeated rows and equal
 texts have equal fingerprints and are collapsed first; null ids never name a component unless all its ids are null; an empty
@@ -15,7 +17,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from itertools import product
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -59,14 +61,26 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
 
 
 class Forest:
-    """One vantage-point tree for each of `blocks` bit blocks; see the module's text."""
+    """Vantage-point trees over bit blocks, or over every choice of `shared` blocks; see the module's text."""
 
-    def __init__(self, radius: int = 4, blocks: int = 5, depth: int = 4, ring: int = 1, seed: int = 11):
-        self.radius, self.blocks, self.q, self.ring = radius, blocks, radius // blocks, ring
+    def __init__(self, radius: int = 4, blocks: int = 5, depth: int = 0, ring: int = 1, shared: int = 1, seed: int = 11):
         edges = [BITS * i // blocks for i in range(blocks + 1)]
-        self.masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+        each = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+        self.masks = [sum(c) for c in combinations(each, shared)]
+        if shared > 1 and shared > blocks - radius:
+            raise ValueError("words may share fewer blocks than that")
+        self.radius, self.blocks, self.q, self.ring = radius, len(self.masks), radius // blocks if shared == 1 else 0, ring
+        depth = depth or max(4, BITS * shared // blocks // 3)
         draw = np.random.default_rng(seed)
-        self.points = [[int(draw.integers(0, 1 << 63)) * 2 + int(draw.integers(0, 2)) for _ in range(depth)] for _ in range(blocks)]
+        self.points = [[int(draw.integers(0, 1 << 63)) * 2 + int(draw.integers(0, 2)) for _ in range(depth)] for _ in self.masks]
+
+    @classmethod
+    def for_words(cls, n: int, radius: int = 4, leaf: int = 2000) -> Forest:
+        """The fewest trees whose leaves hold some `leaf` of n unrelated words."""
+        blocks = radius + 1
+        while blocks < 2 * radius and n > leaf << (BITS * (blocks - radius) // blocks):
+            blocks += 1
+        return cls(radius, blocks, shared=blocks - radius)
 
     def homes(self, fps: np.ndarray) -> list[np.ndarray]:
         """For each block, the leaf of each word: its rings' numbers as one number."""
@@ -76,10 +90,10 @@ class Forest:
         return np.bitwise_count((fps ^ np.uint64(self.points[b][p])) & np.uint64(self.masks[b])).astype(np.int64)
 
     def _leaf(self, rings, b):
-        leaf = np.full(len(rings[0]), b + 1, np.int64)
+        leaf = np.full(len(rings[0]), b + 1, np.uint64)  # mixed to 64 bits: leaves that happened to meet would only be searched together
         for r in rings:
-            leaf = leaf * (BITS + 1) + r
-        return leaf
+            leaf = (leaf ^ (leaf >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + r.astype(np.uint64)
+        return leaf.view(np.int64)
 
     def asks(self, fps: np.ndarray):
         """(place, leaf) pairs: every leaf that the word's ball overlaps, its home aside."""
@@ -101,44 +115,25 @@ class Forest:
 def links(fps: np.ndarray, stored: np.ndarray, radius: int, width: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join all words of a leaf that a chain of links joins: a forest, not all pairs. Only pairs with a stored word count.
 
-    A vantage word takes in all words within `radius` of it (a star); words that are already joined are not compared again."""
+    Each word in turn is a vantage word that takes in every word within `radius` of it that isn't joined with it yet, one edge for each group that
+    it joins; so a dense ball of words is settled by few of them."""
     n = len(fps)
-    parent = np.arange(n)
+    group = np.arange(n)
     out_a, out_b = [], []
     step = max(1, width // max(n, 1))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def join(a, b):
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out_a.append(a)
-            out_b.append(b)
-
-    starred = np.zeros(n, bool)
-    at = 0
-    while at < n:
-        if not starred[at] and n > 64:  # a dense ball falls to a few stars
-            near = np.flatnonzero(np.bitwise_count(fps ^ fps[at]) <= radius)
-            near = near[(near != at) & (stored[near] | stored[at])]
-            if len(near) > 32:
-                for j in near.tolist():
-                    join(at, j)
-                starred[near[np.bitwise_count(fps[near] ^ fps[at]) <= radius // 2]] = True
+    for at in range(0, n, step):
         rows = np.arange(at, min(at + step, n))
         close = np.bitwise_count(fps[rows, None] ^ fps[None, at:]) <= radius
-        r, c = np.nonzero(close)
-        c = c + at
-        r = r + at
-        good = (c > r) & (stored[r] | stored[c])
-        for a, b in zip(r[good].tolist(), c[good].tolist(), strict=True):
-            join(a, b)
-        at += step
+        close &= stored[rows, None] | stored[None, at:]
+        open_rows = np.flatnonzero((close & (group[rows, None] != group[None, at:])).any(1))
+        for k in open_rows.tolist():
+            i = at + k
+            near = at + np.flatnonzero(close[k] & (group[at:] != group[i]))
+            if len(near):
+                met, first = np.unique(group[near], return_index=True)
+                out_a += [i] * len(met)
+                out_b += near[first].tolist()
+                group[np.isin(group, met)] = group[i]
     return np.array(out_a, np.int64), np.array(out_b, np.int64)
 
 
@@ -197,11 +192,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 4, shingle: int = 4, blocks: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 4, shingle: int = 4) -> DataFrame:
     """A row for each document: doc_id, fingerprint (16 hex digits), component_id (least id that links reach)."""
     prints = cut(fingerprints(docs, text, doc_id, shingle))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(pair_edges(distinct, Forest(radius, blocks)))
+    found = components(pair_edges(distinct, Forest.for_words(distinct.count(), radius)))
     member = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = member.join(named, "root").select("fp", "component_id")
