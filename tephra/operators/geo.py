@@ -17,6 +17,14 @@ def edges_of(polygons: DataFrame, key: str = "region_id", ring: str = "ring") ->
     return e.select(key, "part", F.col("a.lon").alias("x1"), F.col("a.lat").alias("y1"), F.col("b.lon").alias("x2"), F.col("b.lat").alias("y2"))
 
 
+def rings_from_wkt(df: DataFrame, wkt: str = "wkt", key: str = "region_id") -> DataFrame:
+    """(key, part, ring) for each outer ring of POLYGON and MULTIPOLYGON texts; inner rings follow as parts of their own."""
+    bodies = F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1))
+    point = lambda p: F.struct(F.element_at(F.split(F.trim(p), r"\s+"), 1).cast("double").alias("lon"), F.element_at(F.split(F.trim(p), r"\s+"), 2).cast("double").alias("lat"))
+    rows = df.select(key, F.posexplode(bodies).alias("part", "body"))
+    return rows.select(key, "part", F.transform(F.split("body", ","), point).alias("ring"))
+
+
 def regions_of_points(points: DataFrame, polygons: DataFrame, point_key: str, square: float = 1.0, key: str = "region_id", order: str | None = None) -> DataFrame:
     """(point_key, key): the first polygon, by `order`, that holds each point (lat, lon); points in none have no row.
 

@@ -405,10 +405,10 @@ def j22(spark, d):
     return warming.simulations_at(warming.crossings(y, [151000.0], ["sim"]), level=151000.0)
 
 
-@query("J24_degree_days", f"WITH {DAILY} SELECT sim, round(sum(greatest(35000 - (tmax + tmin) / 2, 0)), 1) AS hdd, round(sum(greatest((tmax + tmin) / 2 - 42000, 0)), 1) AS cdd FROM daily GROUP BY 1")
+@query("J24_degree_days", f"WITH {DAILY} SELECT sim, round(sum(greatest(35000 - (tmax + tmin) / 2, 0)) / 1000, 3) AS hdd, round(sum(greatest((tmax + tmin) / 2 - 42000, 0)) / 1000, 3) AS cdd FROM daily GROUP BY 1")
 def j24(spark, d):
     h, c = indices.degree_days(F.col("tmax"), F.col("tmin"), 35000, 42000)
-    return scan.daily(spark, d).groupBy("sim").agg(r(F.sum(h), 1).alias("hdd"), r(F.sum(c), 1).alias("cdd"))
+    return scan.daily(spark, d).groupBy("sim").agg(r(F.sum(h) / 1000, 3).alias("hdd"), r(F.sum(c) / 1000, 3).alias("cdd"))
 
 
 @query("J25_degree_hours", f"WITH {HOURLY} SELECT sim, CAST(time AS DATE) AS day, count(*) FILTER (WHERE value < 30) AS hdh, count(*) FILTER (WHERE value > 60) AS cdh FROM hourly GROUP BY 1, 2")

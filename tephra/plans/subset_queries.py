@@ -328,9 +328,9 @@ def g06(spark, d):
     return scan.table(spark, d, "lineitem").where("l_quantity = 1").select(F.col("l_suppkey").alias("k")).union(scan.table(spark, d, "supplier").where("s_acctbal > 5000").select("s_suppkey")).distinct()
 
 
-@query("H02_pivot", f"WITH {HOURLY} SELECT CAST(dayofyear(time) AS INT) AS doy, round(avg(CASE WHEN hour(time) = 0 THEN value END), 6) AS h0, round(avg(CASE WHEN hour(time) = 6 THEN value END), 6) AS h6, round(avg(CASE WHEN hour(time) = 12 THEN value END), 6) AS h12, round(avg(CASE WHEN hour(time) = 18 THEN value END), 6) AS h18 FROM hourly GROUP BY 1")
+@query("H02_pivot", f"WITH {HOURLY} SELECT CAST(dayofyear(time) AS INT) AS doy, round(avg(CASE WHEN hour(time) = 0 THEN value END), 4) AS h0, round(avg(CASE WHEN hour(time) = 6 THEN value END), 4) AS h6, round(avg(CASE WHEN hour(time) = 12 THEN value END), 4) AS h12, round(avg(CASE WHEN hour(time) = 18 THEN value END), 4) AS h18 FROM hourly GROUP BY 1")
 def h02(spark, d):
-    p = scan.hourly(spark, d).withColumn("hour", F.hour("time")).groupBy(F.dayofyear("time").alias("doy")).pivot("hour", [0, 6, 12, 18]).agg(F.round(F.avg("value"), 6))
+    p = scan.hourly(spark, d).withColumn("hour", F.hour("time")).groupBy(F.dayofyear("time").alias("doy")).pivot("hour", [0, 6, 12, 18]).agg(F.round(F.avg("value"), 4))
     return p.withColumnsRenamed({str(h): f"h{h}" for h in (0, 6, 12, 18)})
 
 

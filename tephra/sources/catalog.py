@@ -104,6 +104,26 @@ def from_selection(base: Query, selection) -> Query:
     return base.where(**{f: v for f in FACETS if (v := getattr(selection, f, None)) not in (None, "", [])})
 
 
+def get_data(base: Query, variable: str, table_id: str | None = None, grid_label: str | None = None, approach: str = "Time", warming_level: list[float] | None = None, crossings: DataFrame | None = None, keys: list[str] | None = None, window: int = 15) -> DataFrame:
+    """One call for a variable: by time, or around warming levels whose crossings are given."""
+    q = base.where(**{k: v for k, v in (("variable", variable), ("table_id", table_id), ("grid_label", grid_label)) if v})
+    if approach == "Warming Level":
+        if crossings is None:
+            raise ValueError("the warming level approach needs crossings")
+        wanted = crossings.where(F.col("warming_level").isin([float(w) for w in warming_level])) if warming_level else crossings
+        q = q.processes({"warming_level": {"crossings": wanted, "keys": keys or ["sim"], "window": window}})
+    elif approach != "Time":
+        raise ValueError("approach is Time or Warming Level")
+    return q.get()
+
+
+def history_and_warm(base: Query, models: list[str], warm: str, history: str = "historical") -> tuple[DataFrame, DataFrame]:
+    """Historical and future rows of those models that have both scenarios."""
+    both = base.gcm(models).where(scenario=[history, warm]).get()
+    kept = both.join(subset.relational_division(both, "gcm", "scenario", [history, warm]), "gcm", "left_semi")
+    return kept.where(F.col("scenario") == history), kept.where(F.col("scenario") == warm)
+
+
 def _clip(df: DataFrame, area) -> DataFrame:
     """area: {"lat": (a, b), "lon": (a, b)}; {"points": frame, "reach": degrees}; {"polygons": frame}; {"cells": ids}."""
     if "lat" in area:
