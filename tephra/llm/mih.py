@@ -2,7 +2,7 @@
 
 A code of B bits is cut into segments. Round r probes, for every open query and segment, the buckets at exactly r bits from the query's own
 segment. After round r every code within segments * (r + 1) - 1 bits of the query has been met, so a query is closed once its kth verified
-distance is no larger than that. Equal codes share one entry; verification is on the whole code.
+distance (or the last row's, if there are fewer) is no larger than that. Equal codes share one entry; verification is on the whole code.
 
 Rules for odd input: null vectors and codes are neither indexed nor searched; ties go to the smaller id; repeated ids count once for each row; fewer
 than k rows return all of them; an empty table gives an empty result; equal codes of any number are one entry with their k least ids.
@@ -37,8 +37,9 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
     segment = lambda s: F.call_function("shiftrightunsigned", F.col("code"), F.lit(s * width)).bitwiseAND(F.lit(low))
     first = Window.partitionBy("code").orderBy("id")
     kept = cut(codes.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k).select("id", "code"))  # of a code's rows only the k least can count
-    entries = cut(kept.select("code").distinct())
-    index = cut(entries.select("code", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), segment(s).alias("value")) for s in range(segments)])).alias("e")).select("code", "e.seg", "e.value"))
+    entries = kept.groupBy("code").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+    index = cut(entries.select("code", "least", "rows", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), segment(s).alias("value")) for s in range(segments)])).alias("e")).select("code", "least", "rows", "e.seg", "e.value"))
+    enough = min(k, kept.count())
     filled = np.zeros((segments, low + 1), bool)  # which buckets exist: a bit for each of segments * 2^width, whatever the number of rows
     for row in index.groupBy("seg").agg(F.collect_set(F.col("value").cast("int")).alias("values")).toLocalIterator():
         filled[row["seg"], row["values"]] = True
@@ -60,18 +61,16 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), q)), pa.array(np.full(len(value), s), pa.int32()), pa.array(value)], ["q", "seg", "value"])
 
         probes = wanted.repartition("q").mapInArrow(probe, "q long, seg int, value long")
-        near = probes.join(index, ["seg", "value"]).select("q", "code").distinct().withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int"))
-        near = near if met is None else near.join(met, ["q", "code"], "left_anti").union(met)
-        place = Window.partitionBy("q").orderBy("distance", "code")
-        near = near.withColumn("place", F.row_number().over(place))
-        # beyond the kth distance no code is needed; codes that tie with it are kept, since their ids decide
-        kth = near.where(F.col("place") == k).select("q", F.col("distance").alias("kth"))
-        met = cut(near.join(kth, "q", "left").where(F.col("kth").isNull() | (F.col("distance") <= F.col("kth"))).select("q", "code", "distance"))
+        near = probes.join(index.hint("merge"), ["seg", "value"]).select("q", "code", "least", "rows", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
+        near = near if met is None else near.union(met)
+        near = near.groupBy("q", "code").agg(F.min("least").alias("least"), F.min("rows").alias("rows"), F.min("distance").alias("distance"))
+        # rows go by distance, then id, and every code has a row with its least id: the k first codes hold the k first rows
+        met = cut(near.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("distance", "least"))).where(F.col("place") <= k).drop("place"))
         covered = segments * (r + 1) - 1
-        done = met.where(F.col("distance") <= covered).groupBy("q").count().where(F.col("count") >= k)
+        done = met.where(F.col("distance") <= covered).groupBy("q").agg(F.sum("rows").alias("n")).where(F.col("n") >= enough)
         wanted = cut(wanted.join(done, "q", "left_anti"))
-        if wanted.isEmpty():
+        if not enough or wanted.isEmpty():
             break
     place = Window.partitionBy("q").orderBy("distance", "id")
-    best = met.join(kept, "code").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    best = met.join(kept.hint("merge"), "code").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     return asked.join(best, "q").select("query_id", F.col("rank").cast("int"), "id", "distance")
