@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, cut
 
+SALTS = 64
 TERM = re.compile(rb"[a-z0-9][a-z0-9.+\-]*[a-z0-9+]|[a-z0-9]")
 #: Short headers of public licences, by SPDX name.
 TEMPLATES = {
@@ -173,7 +174,11 @@ def inherit(found: DataFrame) -> DataFrame:
     parts = F.split("folder", "/")
     above = bare.select("folder", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("dir")))).alias("a")).select("folder", "a.depth", "a.dir")
     nearest = above.join(voices, "dir").groupBy("folder").agg(F.max_by(F.struct("dir", "given", "given_score"), "depth").alias("near"))
-    out = found.withColumn("folder", F.when(F.col("license").isNull(), folder).otherwise(F.concat(F.lit("own:"), F.col("doc_id").cast("string")))).join(nearest, "folder", "left")
+    # a directory may hold a large part of the files: its files are dealt to SALTS keys, and what it inherits goes to each of them
+    nearest = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    asks = found.withColumn("folder", F.when(F.col("license").isNull(), folder).otherwise(F.concat(F.lit("own:"), F.col("doc_id").cast("string")))).withColumn("salt", salt)
+    out = asks.join(nearest, ["folder", "salt"], "left")
     own = F.col("license").isNotNull()
     return out.select(
         "doc_id",
