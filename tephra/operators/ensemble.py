@@ -18,7 +18,7 @@ def variance_parts(df: DataFrame, sim: str = "sim", gcm: str = "gcm", scenario:
     internal = smoothed.groupBy(scenario, year).agg(F.var_pop("v").alias("x")).agg(F.avg("x").alias("internal"))
     models = smoothed.groupBy(scenario, gcm, year).agg(F.avg("v").alias("m")).groupBy(scenario, year).agg(F.var_pop("m").alias("x")).groupBy(year).agg(F.avg("x").alias("model"))
     scenarios = smoothed.groupBy(scenario, year).agg(F.avg("v").alias("m")).groupBy(year).agg(F.var_pop("m").alias("scenario_var"))
-    out = models.join(scenarios, year).crossJoin(F.broadcast(internal))  # internal is one row
+    out = models.join(scenarios, year).withColumn("internal", internal.scalar())
     total = F.col("internal") + F.col("model") + F.col("scenario_var")
     out = out.withColumn("total", total)
     return out.withColumns({f"{c}_fraction": F.try_divide(F.col(c), F.col("total")) for c in ("internal", "model", "scenario_var")})
@@ -58,9 +58,8 @@ def gcm_ranges(df: DataFrame, keys: list[str], gcm: str = "gcm", value: str = "v
 
 def pooled_and_mean_quantiles(df: DataFrame, sim: str, q: float, value: str = "value") -> DataFrame:
     """The quantile of all values together beside the mean of the simulations' own quantiles."""
-    pooled = df.agg(F.percentile(value, F.lit(q)).alias("pooled"))
-    own = df.groupBy(sim).agg(F.percentile(value, F.lit(q)).alias("q")).agg(F.avg("q").alias("mean_of_sims"))
-    return pooled.crossJoin(F.broadcast(own))  # one row each
+    own = df.groupBy(sim).agg(F.percentile(value, F.lit(q)).alias("q")).agg(F.avg("q"))
+    return df.agg(F.percentile(value, F.lit(q)).alias("pooled")).withColumn("mean_of_sims", own.scalar())
 
 
 def common_models(df: DataFrame, scenarios: list[str], gcm: str = "gcm", scenario: str = "scenario") -> DataFrame:

@@ -86,8 +86,7 @@ def local_time(df: DataFrame, zone: str, time: str = "time", reindex: bool = Fal
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), t)
     out = df.withColumn("__utc", t).withColumn(time, local)
     if reindex:
-        ends = df.agg(F.min(t).alias("__a"), F.max(t).alias("__b"))
-        out = out.crossJoin(F.broadcast(ends)).where(F.col(time).between(F.col("__a"), F.col("__b"))).drop("__a", "__b")  # one row
+        out = out.where(F.col(time).between(df.select(F.min(t)).scalar(), df.select(F.max(t)).scalar()))
     return out.drop("__utc")
 
 

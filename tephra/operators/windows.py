@@ -81,9 +81,13 @@ def sliding_climatology(df: DataFrame, keys: list[str], first: int, last: int, y
 
 
 def day_window_quantiles(df: DataFrame, keys: list[str], probabilities: list[float], half: int = 45, day: str = "doy", value: str = "value", year_days: int = 365) -> DataFrame:
-    """Quantiles of all values within `half` days of each day of the year, around its end too: (keys, day, q).
-
-    Each value is dealt to its neighbouring days before grouping; exact quantiles need the values of a group together."""
-    days = F.explode(F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda s: F.pmod(F.col(day) - 1 + s, F.lit(year_days)) + 1))
-    dealt = df.where(F.col(value).isNotNull()).select(*keys, value, days.alias(day))
-    return dealt.groupBy(*keys, day).agg(F.percentile(value, F.array(*map(F.lit, probabilities))).alias("q"))
+    """Quantiles of all values within `half` days of each day of the year, around its end too: (keys, day, q). Days without any value near have no row.
+
+    A range frame over the series slides along the days, so a value is not dealt to every day near it; only those near the year's ends are repeated."""
+    held = df.where(F.col(value).isNotNull()).select(*keys, F.col(day).cast("int").alias(day), F.col(value).cast("double").alias(value))
+    near = lambda d: (d >= 1 - half) & (d <= year_days + half)
+    around = held.withColumn(day, F.explode(F.filter(F.array(F.col(day), F.col(day) - year_days, F.col(day) + year_days), near)))
+    asked = held.select(*keys, F.lit(1).alias("__one")).distinct().drop("__one").withColumn(day, F.explode(F.sequence(F.lit(1), F.lit(year_days)))).withColumn(value, F.lit(None).cast("double"))
+    rows = around.withColumn("__ask", F.lit(False)).unionByName(asked.withColumn("__ask", F.lit(True)))
+    w = Window.partitionBy(*keys).orderBy(day).rangeBetween(-half, half)
+    return rows.withColumn("q", F.percentile(value, F.array(*map(F.lit, probabilities))).over(w)).where(F.col("__ask") & F.col("q").isNotNull()).select(*keys, day, "q")

@@ -246,8 +246,8 @@ def c08(spark, d):
 @query("C08_nearest_in_time", f"WITH {HOURLY}, m(moment) AS (VALUES (TIMESTAMP '2024-01-10 12:20:00'), (TIMESTAMP '2024-01-20 00:00:00')) SELECT sim, moment, arg_min(value, (abs(epoch_us(time) - epoch_us(moment)), time)) AS value FROM hourly, m GROUP BY 1, 2")
 def c08b(spark, d):
     h = scan.hourly(spark, d)
-    m = scan.literal(spark, [("2024-01-10 12:20:00",), ("2024-01-20 00:00:00",)], "t string").select(F.col("t").cast("timestamp_ntz").alias("moment"))
-    moments = h.select("sim").distinct().crossJoin(F.broadcast(m))  # two moments
+    wanted = F.array(*[F.lit(t).cast("timestamp_ntz") for t in ("2024-01-10 12:20:00", "2024-01-20 00:00:00")])
+    moments = h.select("sim").distinct().select("sim", F.explode(wanted).alias("moment"))
     return joins.nearest_in_time(h, moments, ["sim"]).select("sim", "moment", "value")
 
 
