@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tephra.llm import bpe, langid, mixing, quality, simhash
-from tephra.llm.common import fold, shared_dir, table
+from tephra.llm.common import cut, fold, shared_dir, table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -29,22 +29,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each group of near-duplicates; of rows with that id, one."""
     found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
+    kept = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")))
     chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")))
-    once = chosen.where(F.col("__n") == 1)
-    again = chosen.where(F.col("__n") > 1).dropDuplicates(["doc_id"])
-    return once.union(again).select(*docs.columns)
+    if not kept.where("__n > 1").isEmpty():  # rows of one id: a second pass over these alone
+        chosen = chosen.where("__n = 1").union(chosen.where("__n > 1").dropDuplicates(["doc_id"]))
+    return chosen.select(*docs.columns)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mixture takes it; documents that it doesn't take go."""
-    turn = Window.partitionBy("__id", "__mark").orderBy("__id")
-    taken = mixing.mix(docs).where(F.col("copies") > 0)
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "copies").withColumn("__at", F.row_number().over(turn))
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__mark", F.xxhash64("text"))
-    rows = rows.withColumn("__at", F.row_number().over(turn))
-    same = [rows[c].eqNullSafe(taken[c]) for c in ("__id", "__mark", "__at")]
-    return rows.join(taken, same[0] & same[1] & same[2]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    taken = cut(mixing.mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.count("*").alias("__n"), F.sum("copies").alias("__copies")))
+    rows = docs.withColumn("__own", mixing.mark_of("text", "source"))
+    joined = rows.join(taken.where("__copies > 0"), rows["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (rows["__own"] == F.col("__mark")))
+    copies = F.col("__copies")
+    if not taken.where("__n > 1").isEmpty():  # rows alike in id, text and source share their copies out: a second pass over these alone
+        turn = F.row_number().over(Window.partitionBy("__id", "__mark").orderBy("__id"))
+        shared = joined.where("__n > 1").withColumn("__at", turn)
+        share = F.floor(copies / F.col("__n")) + (F.col("__at") <= copies % F.col("__n")).cast("long")
+        joined = joined.where("__n = 1").unionByName(shared.withColumn("__copies", share).drop("__at")).where("__copies > 0")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
