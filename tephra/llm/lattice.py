@@ -268,7 +268,14 @@ def lattice_scores(docs: DataFrame, path: str, train, doc_id: str = "doc_id", te
     words = cut(marginals(counted, path, logp))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     scale = math.log10(total + distinct + 1)
-    top = words.orderBy(F.desc("c"), "word").limit(common).toPandas()
+    # classes of counts, some thousand at most: from the highest down, those that hold no more than `common` words together
+    level = F.floor(F.log2("c") * 16).cast("int")
+    least, held = 1 << 30, 0
+    for k, n in sorted(words.where("c > 0").groupBy(level.alias("k")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if held + n > common:
+            break
+        least, held = k, held + n
+    top = words.where((F.col("c") > 0) & (level >= least)).toPandas()
     hot = {w.encode(): i for i, w in enumerate(top["word"])}
     hot_c, hot_lp = top["c"].to_numpy(np.int64), top["lp"].to_numpy(float)
     shipped = docs.sparkSession.sparkContext.broadcast((hot, np.log10(hot_c + 1.0), hot_c > 0, hot_lp))  # at most `common` words

@@ -117,7 +117,10 @@ class Machine:
 def fit(docs: DataFrame, labels: DataFrame, train, text: str = "text", doc_id: str = "doc_id", n_chars: str = "n_chars", label: str = "quality", most: int = 8000) -> Machine:
     """Learns from at most `most` labelled texts of the training fold, those with the least hash of their id; only their features reach the driver."""
     marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.max(label).alias("y"))
-    chosen = marks.withColumn("doc_id", F.col("id")).where(train).orderBy(F.xxhash64("id"), "id").limit(most).select("id", "y")
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    marks = marks.withColumn("doc_id", F.col("id")).where(train)
+    share = min(1.0, 2 * most / max(1, marks.count()))  # so that tasks send few rows that the limit would drop
+    chosen = marks.where(draw <= int(share * (1 << 30))).orderBy(draw, "id").limit(most).select("id", "y")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.col(n_chars).cast("long").alias("n_chars") if n_chars in docs.columns else F.lit(None).cast("long").alias("n_chars"))
 
     def extract(batches):
