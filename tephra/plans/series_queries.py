@@ -336,7 +336,15 @@ def j10(spark, d):
     return profiles.medoid_year(m, ["sim"], steps=("month",)).withColumn("distance", r("distance", 4))
 
 
-@query("J12_typical_months")
+FS_BIN = "least(CAST(floor((v - 0.0) / ((hi - 0.0) / 20)) AS INT), 19)"
+
+
+@query("J12_typical_months", f"""WITH {DAILY}, v AS (SELECT sim, CAST(year(time) AS INT) AS year, CAST(month(time) AS INT) AS month, 'tmax' AS i, tmax AS v, 110000.0::DOUBLE AS hi, 0.4::DOUBLE AS w FROM daily UNION ALL SELECT sim, CAST(year(time) AS INT), CAST(month(time) AS INT), 'tmin', tmin, 110000.0, 0.4 FROM daily UNION ALL SELECT sim, CAST(year(time) AS INT), CAST(month(time) AS INT), 'wind', wind, 0.11, 0.2 FROM daily),
+c AS (SELECT sim, year, month, i, w, {FS_BIN} AS bin, count(*) AS c FROM v WHERE v >= 0 AND v <= hi GROUP BY ALL), g AS (SELECT DISTINCT sim, year, month, i, w, CAST(b AS INT) AS bin FROM c, range(20) t(b)),
+n AS (SELECT g.*, coalesce(c.c, 0) AS c FROM g LEFT JOIN c USING (sim, year, month, i, bin)), f AS (SELECT *, sum(c) OVER (PARTITION BY sim, i, month, year ORDER BY bin) / sum(c) OVER (PARTITION BY sim, i, month, year) AS f FROM n),
+a AS (SELECT sim, i, month, bin, sum(c) AS c FROM n GROUP BY ALL), e AS (SELECT sim, i, month, bin, sum(c) OVER (PARTITION BY sim, i, month ORDER BY bin) / sum(c) OVER (PARTITION BY sim, i, month) AS g FROM a),
+s AS (SELECT f.sim, f.i, f.month, f.year, f.w, avg(abs(f.f - e.g)) AS fs FROM f JOIN e USING (sim, i, month, bin) GROUP BY ALL), t AS (SELECT sim, month, year, sum(w * fs) AS score FROM s GROUP BY ALL HAVING year <> 2001),
+k AS (SELECT *, row_number() OVER (PARTITION BY sim, month ORDER BY score, year) AS k FROM t) SELECT sim, month, year, round(score, 9) AS score FROM k WHERE k = 1""")
 def j12(spark, d):
     edges = {"tmax": (0.0, 110000.0), "tmin": (0.0, 110000.0), "wind": (0.0, 0.11)}
     s = profiles.finkelstein_schafer(scan.daily(spark, d), ["sim"], {"tmax": 0.4, "tmin": 0.4, "wind": 0.2}, edges, skip_years=(2001,))
