@@ -30,7 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each group of near-duplicates; of rows with that id, one."""
     found = simhash.near_duplicates(docs)
     kept = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")))
-    chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")))
+    # both joins with whole texts are merge joins at every size: their other side grows with the corpus
+    chosen = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
     if not kept.where("__n > 1").isEmpty():  # rows of one id: a second pass over these alone
         chosen = chosen.where("__n = 1").union(chosen.where("__n > 1").dropDuplicates(["doc_id"]))
     return chosen.select(*docs.columns)
@@ -40,7 +41,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Repeats each document as often as the mixture takes it; documents that it doesn't take go."""
     taken = cut(mixing.mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.count("*").alias("__n"), F.sum("copies").alias("__copies")))
     rows = docs.withColumn("__own", mixing.mark_of("text", "source"))
-    joined = rows.join(taken.where("__copies > 0"), rows["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (rows["__own"] == F.col("__mark")))
+    joined = rows.join(taken.where("__copies > 0").hint("merge"), rows["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (rows["__own"] == F.col("__mark")))
     copies = F.col("__copies")
     if not taken.where("__n > 1").isEmpty():  # rows alike in id, text and source share their copies out: a second pass over these alone
         turn = F.row_number().over(Window.partitionBy("__id", "__mark").orderBy("__id"))
