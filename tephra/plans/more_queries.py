@@ -64,7 +64,7 @@ def s07(spark, d):
 @query("B08_clip_point", f"WITH {GRID}, c AS (SELECT DISTINCT cell, lat, lon FROM grid), b AS (SELECT arg_min(cell, (round(power(lat - 33.3, 2) + power(lon + 118.4, 2), 9), cell)) AS cell FROM c) SELECT year, round(avg(value), 5) AS value FROM grid WHERE cell = (SELECT cell FROM b) GROUP BY 1")
 def b08(spark, d):
     point = scan.literal(spark, [(1, 33.3, -118.4)], "point int, lat double, lon double")
-    df = catalog.from_frame(scan.grid(spark, d)).processes({"clip": {"points": point, "reach": 1.0}}).get()
+    df = catalog.from_frame(scan.grid(spark, d)).processes({"clip": {"points": point, "reach": 6.0}}).get()
     return df.groupBy("year").agg(r(F.avg("value"), 5).alias("value"))
 
 

@@ -240,7 +240,7 @@ def c07(spark, d):
 def c08(spark, d):
     points = scan.literal(spark, [(1, 33.1, -118.2), (2, 35.74, -116.6), (3, 32.0, -119.9)], "point int, lat double, lon double")
     cells = scan.grid(spark, d).select("cell", "lat", "lon").distinct()
-    return joins.nearest_cell(points, cells, "point", "cell", 1.0).select("point", "cell")
+    return joins.nearest_cell(points, cells, "point", "cell", 6.0).select("point", "cell")
 
 
 @query("C08_nearest_in_time", f"WITH {HOURLY}, m(moment) AS (VALUES (TIMESTAMP '2024-01-10 12:20:00'), (TIMESTAMP '2024-01-20 00:00:00')) SELECT sim, moment, arg_min(value, (abs(epoch_us(time) - epoch_us(moment)), time)) AS value FROM hourly, m GROUP BY 1, 2")
@@ -262,7 +262,7 @@ def c09(spark, d):
 def c10(spark, d):
     points = scan.literal(spark, [(1, 33.1, -118.2), (2, 35.74, -116.6)], "point int, lat double, lon double")
     cells = scan.grid(spark, d).select("cell", "lat", "lon").distinct()
-    return joins.nearest_cell(points, cells, "point", "cell", 1.5, only=F.col("cell") % 3 != 0).select("point", "cell")
+    return joins.nearest_cell(points, cells, "point", "cell", 6.0, only=F.col("cell") % 3 != 0).select("point", "cell")
 
 
 @query("C11_semi_join", "SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1996 AND o_custkey IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 2000)")
