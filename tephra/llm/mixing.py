@@ -23,7 +23,7 @@ FAN_IN = 256
 EPS = 1e-9
 
 
-def targets(sources: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, ordered: DataFrame | None = None) -> DataFrame:
+def targets(sources: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """sources (source, source_size, docs) with target. Weights repeat along the sources by code point, null last.
 
     Sources are one row each; they are numbered in parallel and the level is found by sums over them."""
