@@ -92,7 +92,7 @@ def local_time(df: DataFrame, zone: str, time: str = "time", reindex: bool = Fal
 
 def complete_windows(df: DataFrame, excluded: DataFrame, on: list[str]) -> DataFrame:
     """Without the simulations whose window around a warming level is incomplete."""
-    return df.join(F.broadcast(excluded.select(*on).distinct()) if excluded.isLocal() else excluded.select(*on).distinct(), on, "left_anti")
+    return df.join(excluded.select(*on).distinct(), on, "left_anti")
 
 
 def relational_division(df: DataFrame, key: str, column: str, values: list) -> DataFrame:

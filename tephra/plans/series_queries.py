@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -500,12 +502,31 @@ def j44(spark, d):
     return geo.cell_outlines(c, "lon", "lat").select("cell", "west", "east", "south", "north")
 
 
+def live(spark, d):
+    """The events table as a stream with timestamps."""
+    df = stream.read(spark, d, scan.table(spark, d, "events").schema, "events.parquet")
+    return df.withColumn("sim", F.col("event_type")).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def replayed(spark, df):
+    return stream.replay(spark, df, f"stream_{uuid.uuid4().hex}", "complete")
+
+
 @query("L01_stream_daily", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type AS sim, count(value) AS n, round(sum(value), 3) AS total, min(value) AS min, max(value) AS max FROM events GROUP BY 1, 2")
 def l01(spark, d):
-    import uuid
+    return replayed(spark, stream.resample(live(spark, d), ["sim"], late="60 days")).withColumn("total", r("total", 3))
+
+
+@query("L02_stream_sliding", "SELECT CAST(date_trunc('day', ts) - to_days(CAST(k AS INT)) AS TIMESTAMP) AS start, event_type AS sim, count(value) AS n, round(sum(value), 3) AS total FROM events, range(3) t(k) GROUP BY 1, 2")
+def l02(spark, d):
+    return replayed(spark, stream.rolling(live(spark, d), ["sim"], late="60 days")).withColumn("total", r("total", 3))
+
+
+@query("L03_stream_sessions", "WITH g AS (SELECT event_type AS sim, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)), s AS (SELECT sim, ts, sum(new) OVER (PARTITION BY sim ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT sim, count(*) AS sessions, CAST(max(n) AS BIGINT) AS longest FROM (SELECT sim, k, count(*) AS n FROM s GROUP BY 1, 2) GROUP BY 1")
+def l03(spark, d):
+    return replayed(spark, stream.sessions(live(spark, d), ["sim"], "1 hour", late="60 days")).groupBy("sim").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
 
-    schema = scan.table(spark, d, "events").schema
-    df = stream.read(spark, d, schema, "events.parquet").withColumn("sim", F.col("event_type")).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"stream_{uuid.uuid4().hex}"
-    got = stream.replay(spark, stream.resample(df, ["sim"], late="60 days"), name, "complete")
-    return got.withColumn("total", r("total", 3))
+@query("L04_stream_counts", "SELECT event_type AS sim, count(*) FILTER (WHERE value > 50) AS hits, count(*) AS n FROM events GROUP BY 1")
+def l04(spark, d):
+    return replayed(spark, stream.exceedances(live(spark, d), ["sim"], 50.0))
