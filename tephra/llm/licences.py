@@ -1,13 +1,15 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory.
 
-A unit is a line, a paragraph or the whole text. Its vector has tf * idf for the templates' terms (idf from the document frequencies over all files) and the largest
-idf for every other word; a unit matches the template of largest cosine if that reaches `threshold`. A file's own finding is the best of its units; a licence
+A unit is a line, a paragraph or the whole text. Its vector has tf * idf for every word, with document frequencies counted over all files, so that a unit's
+cosine doesn't fall with their number; a unit matches the template of largest cosine if that reaches `threshold`. A file's own finding is the best of its units; a licence
 file (by its name, or matching as a whole) also speaks for its directory. A file without a finding of its own takes that of the nearest
 ancestor directory that has one; ancestors meet directories in a join by path.
 
-Exact candidate rule: a unit whose shared terms avoid a template's heaviest terms (all but a rest of norm below the threshold) can't reach the threshold.
+Exact candidate rules: a unit whose shared terms avoid a template's heaviest terms (all but a rest of norm below the threshold) can't reach the threshold; nor can
+one that falls short of it when its rarer words get the least weight they may have. The frequencies of the templates' terms and of the most frequent words
+travel with the code; the other words of the units that are left meet theirs in a join by word.
 
-Rules for odd input: a null text is empty and has no finding of its own but may inherit; a null path inherits nothing; ties between templates go to the
+Rules for odd input: a null text is empty and has no finding of its own but may inherit; a null path inherits nothing; ties between templates and units go to the
 first by name; repeated rows are scanned each; an empty table gives an empty result. Texts are read whole.
 """
 
@@ -17,14 +19,15 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut
 
 SALTS = 64
+FREQUENT = 20_000
 TERM = re.compile(rb"[a-z0-9][a-z0-9.+\-]*[a-z0-9+]|[a-z0-9]")
 #: Short headers of public licences, by SPDX name.
 TEMPLATES = {
@@ -47,118 +50,122 @@ def terms(raw: bytes) -> list[bytes]:
 
 
 class Templates:
-    """Template vectors for given document frequencies."""
+    """Template vectors for given document frequencies. A word that `df` doesn't hold is in at most `most` files."""
 
-    def __init__(self, templates: dict[str, list[str]], df: dict[bytes, int], files: int, threshold: float):
+    def __init__(self, templates: dict[str, list[str]], df: dict[bytes, int], files: int, threshold: float, most: int = 0):
         self.rows = [(name, Counter(terms(t.encode()))) for name, texts in sorted(templates.items()) for t in texts]
-        self.other = math.log((1 + files) / 1) + 1
+        self.other = math.log((1 + files) / (1 + most)) + 1
         vocabulary = sorted({t for _, c in self.rows for t in c})
-        self.idf = {t: math.log((1 + files) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
+        self.idf = {t: math.log((1 + files) / (1 + n)) + 1 for t, n in {**dict.fromkeys(vocabulary, 0), **df}.items()}
         self.threshold = threshold
-        self.weights, self.by_term, need = [], {}, set()
+        self.by_term, self.need = {}, set()
         for i, (_, c) in enumerate(self.rows):
             w = {t: n * self.idf[t] for t, n in c.items()}
             norm = math.sqrt(sum(x * x for x in w.values()))
             w = {t: x / norm for t, x in w.items()}
-            self.weights.append(w)
             rest = 0.0
             for t in sorted(w, key=lambda t: (w[t], t)):
                 self.by_term.setdefault(t, []).append((i, w[t]))
                 rest += w[t] ** 2
                 if rest >= threshold**2:  # the lighter terms alone fall short
-                    need.add(t)
-        self.need = re.compile(b"|".join(re.escape(t) for t in sorted(need, key=lambda t: (-len(t), t))))
-
-    def cosine(self, unit: bytes) -> tuple[float, str | None]:
-        counts = Counter(terms(unit))
-        norm, dots = 0.0, {}
-        for t, n in counts.items():
-            w = n * self.idf.get(t, self.other)
-            norm += w * w
+                    self.need.add(t)
+
+    def weigh(self, unit: list[bytes]) -> tuple[float, str, float, dict[bytes, int]] | None:
+        """(product with the nearest template, its name, squared norm of the words with known frequencies, number of each other word) of a unit that may match."""
+        own, dots, rest = 0.0, {}, {}
+        for t, n in Counter(unit).items():
+            idf = self.idf.get(t)
+            if idf is None:
+                rest[t] = n
+                continue
+            w = n * idf
+            own += w * w
             for i, x in self.by_term.get(t, ()):
                 dots[i] = dots.get(i, 0.0) + w * x
         if not dots:
-            return 0.0, None
+            return None
         best = min(dots, key=lambda i: (-round(dots[i], 12), i))
-        return dots[best] / math.sqrt(norm), self.rows[best][0]
+        highest = dots[best] / math.sqrt(own + sum((n * self.other) ** 2 for n in rest.values()))
+        return (dots[best], self.rows[best][0], own, rest) if round(highest, 9) >= self.threshold else None
 
-    def scan(self, raw: bytes, brute: bool = False) -> tuple[float, str | None, bool]:
-        """(cosine, licence, whether the text as a whole matched) of the best unit, or (0, None, False)."""
+    def units(self, raw: bytes, brute: bool = False) -> list[tuple[float, str, float, dict[bytes, int], bool]]:
+        """What `weigh` tells of each unit that may match, and whether the unit is the whole text."""
         low = raw.lower()
-        found: tuple[float, str | None] = (0.0, None)
-        whole = False
-        units: set[tuple[int, int]] = set()
-        if brute:
-            at = 0
-            for line in low.split(b"\n"):
-                units.add((at, at + len(line)))
-                at += len(line) + 1
-            at = 0
-            for p in re.split(rb"(\n\s*\n)", low):
-                units.add((at, at + len(p)))
-                at += len(p)
-        else:
-            last = -1
-            for m in self.need.finditer(low):
-                if m.start() < last:
-                    continue
-                a = low.rfind(b"\n", 0, m.start()) + 1
-                b = low.find(b"\n", m.start())
-                last = b = len(low) if b < 0 else b
-                units.add((a, b))
-        for a, b in sorted(units):
-            found = max(found, self._ranked(low[a:b]), key=lambda x: (x[0], x[1] is None))
-        if units:
-            if not brute:
-                at = 0
-                for p in re.split(rb"(\n\s*\n)", low) if b"\n\n" in low or re.search(rb"\n\s*\n", low) else []:
-                    if p.count(b"\n") and self.need.search(p):
-                        found = max(found, self._ranked(p), key=lambda x: (x[0], x[1] is None))
-                    at += len(p)
-            score = self._ranked(low)
-            whole = score[0] >= self.threshold
-            found = max(found, score, key=lambda x: (x[0], x[1] is None))
-        return (*found, whole) if found[0] >= self.threshold else (0.0, None, False)
-
-    def _ranked(self, unit: bytes) -> tuple[float, str | None]:
-        score, name = self.cosine(unit)
-        return (round(score, 9), name)
-
-
-def frequencies(files: DataFrame, templates: dict[str, list[str]], text: str = "text") -> tuple[dict[bytes, int], int]:
-    """Document frequencies of the templates' terms over all files, and the number of files."""
-    vocabulary = sorted({t for texts in templates.values() for x in texts for t in terms(x.encode())})
+        every = TERM.findall(low)
+        if not brute and self.need.isdisjoint(every):
+            return []
+        parts = [terms(x) for x in low.split(b"\n")]
+        if len(parts) > 2:
+            parts += [terms(x) for x in re.split(rb"\n\s*\n", low) if b"\n" in x or brute]
+        found = [(self.weigh(x), False) for x in parts if brute or not self.need.isdisjoint(x)]
+        return [(*x, whole) for x, whole in [*found, (self.weigh(every), True)] if x]
+
+    def scan(self, raw: bytes, brute: bool = False) -> tuple[float, str | None, bool]:
+        """(cosine, licence, whether the text as a whole matched) of the best unit, or (0, None, False); words that aren't known weigh as `most` files give."""
+        ranked = [(round(dot / math.sqrt(own + sum((n * self.other) ** 2 for n in rest.values())), 9), name, whole) for dot, name, own, rest, whole in self.units(raw, brute)]
+        if not ranked:
+            return (0.0, None, False)
+        score, name, _ = min(ranked, key=lambda x: (-x[0], x[1]))
+        return score, name, any(whole for _, _, whole in ranked)
+
+
+def frequencies(files: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n): the number of files that hold each word; the empty term has the number of all files."""
 
     def count(batches):
-        known, total, n = frozenset(vocabulary), Counter(), 0
+        total = Counter()
         for batch in batches:
             for raw in as_bytes(batch.column(0)).to_pylist():
-                total.update(known.intersection(terms(raw or b"")))
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array(["", *(t.decode() for t in total)]), pa.array([n, *total.values()], pa.int64())], ["term", "n"])
+                total.update({b"", *terms(raw or b"")})
+            if len(total) > 400_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()).cast(pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+                total = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()).cast(pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+
+    return cut(files.select(F.col(text).alias("text")).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")))
+
 
-    got = files.select(F.col(text).alias("text")).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each term of the templates
-    df = {r["term"].encode(): r["n"] for r in got}
-    return df, df.pop(b"", 0)
+def fitted(counts: DataFrame, templates: dict[str, list[str]], threshold: float, frequent: int = FREQUENT) -> tuple[Templates, int]:
+    """The templates with the frequencies of their own terms and of at most `frequent` of the most frequent words; the number of files."""
+    classes = {r["k"]: r["n"] for r in counts.where("term != ''").groupBy(F.floor(F.log2("n")).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()}  # a row for each power of two
+    k, room = max(classes, default=-1) + 1, frequent
+    while k > 0 and classes.get(k - 1, 0) <= room:
+        k -= 1
+        room -= classes.get(k, 0)
+    vocabulary = sorted({"", *(t.decode() for texts in templates.values() for x in texts for t in terms(x.encode()))})
+    df = {r["term"].encode(): r["n"] for r in counts.where((F.col("n") >= 2**k) | F.col("term").isin(vocabulary)).collect()}  # at most `frequent`, and the templates' terms
+    files = df.pop(b"", 0)
+    return Templates(templates, df, files, threshold, 2**k - 1), files
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", key: str = "doc_id", templates: dict[str, list[str]] | None = None, threshold: float = 0.6) -> DataFrame:
+def scan(files: DataFrame, path: str = "path", text: str = "text", key: str = "doc_id", templates: dict[str, list[str]] | None = None, threshold: float = 0.6, frequent: int = FREQUENT) -> DataFrame:
     """A row for each file: key, path, license, score, origin (own, inherited or none), from_dir (the directory that gave it)."""
-    templates = TEMPLATES if templates is None else templates
-    model = Templates(templates, *frequencies(files, templates, text), threshold)
+    counts = frequencies(files, text)
+    model, n_files = fitted(counts, TEMPLATES if templates is None else templates, threshold, frequent)
+    shipped = files.sparkSession.sparkContext.broadcast(model)
+    unit = pa.struct([("dot", pa.float64()), ("name", pa.string()), ("own", pa.float64()), ("rest", pa.list_(pa.struct([("term", pa.string()), ("k", pa.int64())]))), ("whole", pa.bool_())])
 
     def run(batches):
+        model, at = shipped.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows = []
-            for p, raw in zip(batch.column(1).to_pylist(), as_bytes(batch.column(2)).to_pylist(), strict=True):
-                score, name, whole = model.scan(raw or b"")
-                speaks = name is not None and (whole or bool(p and LICENCE_NAME.search(p)))
-                rows.append((name, score, speaks))
-            cols = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.bool_()), strict=True))], ["doc_id", "path", "license", "score", "speaks"])
-
-    found = cut(files.select(F.col(key).cast("long").alias("doc_id"), F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, path string, license string, score double, speaks boolean"))
-    return inherit(found)
+            found = []
+            for raw in as_bytes(batch.column(2)).to_pylist():
+                found.append([{"dot": dot, "name": name, "own": own, "rest": [{"term": t.decode(), "k": n} for t, n in rest.items()], "whole": whole} for dot, name, own, rest, whole in model.units(raw or b"")])
+            named = [bool(p and LICENCE_NAME.search(p)) for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(range(at, at + len(found)), pa.int64()), pa.array(named, pa.bool_()), pa.array(found, pa.list_(unit))], ["doc_id", "path", "row", "named", "units"])
+            at += len(found)
+
+    schema = "doc_id long, path string, row long, named boolean, units array<struct<dot: double, name: string, own: double, rest: array<struct<term: string, k: long>>, whole: boolean>>"
+    read = cut(files.select(F.col(key).cast("long").alias("doc_id"), F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(run, schema))
+    units = read.select("row", F.posexplode("units").alias("at", "u")).select("row", "at", "u.*")
+    # words that didn't travel meet their frequencies by word: each is in fewer than 2^k files, so no key is large
+    words = units.select("row", "at", F.explode("rest").alias("w")).select("row", "at", "w.*").join(counts, "term")
+    norms = words.groupBy("row", "at").agg(F.sum(F.pow(F.col("k") * (F.log((1 + F.lit(n_files)) / (1 + F.col("n"))) + 1), F.lit(2))).alias("others"))
+    scored = units.drop("rest").join(norms, ["row", "at"], "left").withColumn("score", F.round(F.col("dot") / F.sqrt(F.col("own") + F.coalesce("others", F.lit(0.0))), 9)).where(F.col("score") >= threshold)
+    best = scored.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("name"))).alias("v"), F.max("whole").alias("whole"))
+    license = F.col("v.name")
+    speaks = license.isNotNull() & (F.coalesce("whole", F.lit(False)) | F.col("named"))
+    return inherit(cut(read.drop("units").join(best, "row", "left").select("doc_id", "path", license.alias("license"), F.coalesce(-F.col("v.s"), F.lit(0.0)).alias("score"), speaks.alias("speaks"))))
 
 
 def inherit(found: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -71,3 +72,26 @@ def test_planted_lines_are_found(spark):
     planted = {i for i, t in texts.items() if any(x in t.lower() for x in ("licensed under", "released under the mit"))}
     own = {r["doc_id"] for r in op9_license_scan(spark, sf).where("origin = 'own'").collect()}
     assert own == planted
+
+
+def test_a_header_among_common_words_is_found_at_every_size(spark):
+    header = "Licensed under the Apache License, Version 2.0."
+    common = ["alpha", "beta", "gamma", "delta"]
+    for n in (200, 2000):
+        rows = [(i, f"/d{i}/x", " ".join(common) + f" own{i}") for i in range(n)] + [(n + i, f"/e{i}/x", f"{' '.join(common)} {header}") for i in range(n // 100)]
+        docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+        got = {r["doc_id"]: r["score"] for r in licences.scan(docs).where("origin = 'own' and license = 'Apache-2.0'").collect()}
+        assert set(got) == set(range(n, n + n // 100)) and min(got.values()) > 0.9
+
+
+def test_words_that_do_not_travel_have_the_same_weights(spark):
+    g = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, f"/{i}/x", "\n".join(" ".join(g.choices(words, [1 / (k + 1) for k in range(40)], k=g.randint(0, 6))) + (" Released under the MIT License." if g.random() < 0.3 else "") for _ in range(3))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    some = [Counter(tuple(r) for r in licences.scan(docs, frequent=k).collect()) for k in (0, 10, 1000)]
+    df = Counter(t for _, _, x in rows for t in set(licences.terms(x.encode())))
+    brute = licences.Templates(licences.TEMPLATES, df, len(rows), 0.6)
+    want = {i: brute.scan(x.encode(), brute=True)[:2] for i, _, x in rows}
+    assert some[0] == some[1] == some[2]
+    assert {r[0]: (r[3], r[2]) for r in some[0] if r[4] == "own"} == {i: v for i, v in want.items() if v[1]}
