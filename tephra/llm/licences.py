@@ -1,11 +1,11 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory.
 
 A unit is a line, a paragraph or the whole text. Its vector has tf * idf for every word, with document frequencies counted over all files, so that a unit's
-cosine doesn't fall with their number; a unit matches the template of largest cosine if that reaches `threshold`. A file's own finding is the best of its units; a licence
+cosine doesn't fall with their number; a unit matches the template of largest cosine, of those whose name and version (`MARKS`) it holds, if that reaches `threshold`. A file's own finding is the best of its units; a licence
 file (by its name, or matching as a whole) also speaks for its directory. A file without a finding of its own takes that of the nearest
 ancestor directory that has one; ancestors meet directories in a join by path.
 
-Exact candidate rules: a unit whose shared terms avoid a template's heaviest terms (all but a rest of norm below the threshold) can't reach the threshold; nor can
+Exact candidate rules: a unit without a word of the marks can't match a template that has some; one whose shared terms avoid a template's heaviest terms (all but a rest of norm below the threshold) can't reach the threshold; nor can
 one that falls short of it when its rarer words get the least weight they may have. The frequencies of the templates' terms and of the most frequent words
 travel with the code; the other words of the units that are left meet theirs in a join by word.
 
@@ -29,19 +29,78 @@ from .common import as_bytes, cut
 SALTS = 64
 FREQUENT = 20_000
 TERM = re.compile(rb"[a-z0-9][a-z0-9.+\-]*[a-z0-9+]|[a-z0-9]")
-#: Short headers of public licences, by SPDX name.
+#: Headers, titles and the paragraphs that tell a licence, by SPDX name (one longer than that would match whole files that only hold it). `MARKS` has the names and versions that a unit must hold.
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_GNU_TITLE = "GNU {0} Version {1}, {2} Copyright (C) {3} Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_NO_WARRANTY = " without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the GNU {0} for more details."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_TWO = ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+
+
+def _gnu(name: str, version: str, date: str, years: str) -> list[str]:
+    return [f"This work is licensed under the GNU {name}, version {version}.", _GNU.format(name, version), _GNU.format(name, version) + " This program is distributed in the hope that it will be useful, but" + _NO_WARRANTY.format(name), _GNU_TITLE.format(name.upper(), version, date, years)]
+
+
+def _cc(name: str, short: str, version: str) -> list[str]:
+    return [f"Licensed under CC {short} {version}.", f"This work is licensed under a Creative Commons {name} {version} International License."]
+
+
 TEMPLATES = {
-    "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
-    "MIT": ["Released under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3.", *_gnu("Affero General Public License", "3", "19 November 2007", "2007")],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", _BSD + _BSD_TWO],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", _BSD + _BSD_THIRD, _BSD_THIRD],
+    "CC-BY-3.0": ["Licensed under CC BY 3.0.", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."],
+    "CC-BY-4.0": _cc("Attribution", "BY", "4.0"),
+    "CC-BY-NC-4.0": _cc("Attribution-NonCommercial", "BY-NC", "4.0"),
+    "CC-BY-NC-ND-4.0": _cc("Attribution-NonCommercial-NoDerivatives", "BY-NC-ND", "4.0"),
+    "CC-BY-NC-SA-4.0": _cc("Attribution-NonCommercial-ShareAlike", "BY-NC-SA", "4.0"),
+    "CC-BY-ND-4.0": _cc("Attribution-NoDerivatives", "BY-ND", "4.0"),
+    "CC-BY-SA-3.0": ["Licensed under CC BY-SA 3.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."],
+    "CC-BY-SA-4.0": _cc("Attribution-ShareAlike", "BY-SA", "4.0"),
+    "CC0-1.0": ["Licensed under CC0 1.0.", "Creative Commons Legal Code CC0 1.0 Universal", "This work is dedicated to the public domain under CC0 1.0 Universal (Creative Commons Zero)."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0", "Licensed under the Eclipse Public License, version 2.0."],
+    "GPL-2.0": _gnu("General Public License", "2", "June 1991", "1989, 1991"),
+    "GPL-3.0": _gnu("General Public License", "3", "29 June 2007", "2007"),
+    "ISC": ["Released under the ISC License.", _ISC],
+    "LGPL-2.0": _gnu("Library General Public License", "2", "June 1991", "1991"),
+    "LGPL-2.1": _gnu("Lesser General Public License", "2.1", "February 1999", "1991, 1999"),
+    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", *_gnu("Lesser General Public License", "3", "29 June 2007", "2007")],
+    "MIT": ["Released under the MIT License.", _MIT + ", to deal in the Software without restriction", _MIT + " (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "Zlib": ["Released under the zlib License.", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+}
+_TWO, _THREE = "version 2|version 2.0|v2|v2.0|v. 2", "version 3|version 3.0|v3|v3.0|v. 3"
+#: For each licence alternatives, each of groups of phrases: a unit that matches has a phrase of every group of one alternative, and none of a group with !.
+MARKS = {
+    "AGPL-3.0": [["affero general public license|gnu agpl", _THREE], ["agplv3"]],
+    "Apache-2.0": [["apache license|apache software license", _TWO + "|license 2.0"]],
+    "BSD-2-Clause": [["bsd 2-clause|bsd-2-clause|2-clause bsd|simplified bsd"], ["redistribution and use in source and binary forms", "redistributions in binary form must reproduce", "!neither the name|endorse or promote products"]],
+    "BSD-3-Clause": [["bsd 3-clause|bsd-3-clause|3-clause bsd|new bsd"], ["neither the name", "endorse or promote products"]],
+    "CC0-1.0": [["cc0 1.0|cc0-1.0|creative commons zero"]],
+    "EPL-2.0": [["eclipse public license", _TWO + "|license 2.0"]],
+    "GPL-2.0": [["gnu general public license|gnu gpl", _TWO], ["gplv2"]],
+    "GPL-3.0": [["gnu general public license|gnu gpl", _THREE], ["gplv3"]],
+    "ISC": [["isc license|isc licence"], ["permission to use copy modify and or distribute this software for any purpose|permission to use copy modify and distribute this software for any purpose"]],
+    "LGPL-2.0": [["gnu library general public license", _TWO]],
+    "LGPL-2.1": [["gnu lesser general public license|gnu lgpl", "version 2.1|v2.1|v. 2.1"], ["lgplv2.1"]],
+    "LGPL-3.0": [["gnu lesser general public license|gnu lgpl", _THREE], ["lgplv3"]],
+    "MIT": [["mit license|mit licence"], ["permission is hereby granted free of charge to any person obtaining a copy"]],
+    "MPL-2.0": [["mozilla public license", _TWO + "|v 2.0|license 2.0"]],
+    "Unlicense": [["free and unencumbered software"]],
+    "Zlib": [["zlib license"], ["to alter it and redistribute it freely"]],
 }
+for _long, _short, _versions in (("attribution", "by", ("3.0", "4.0")), ("attribution-noncommercial", "by-nc", ("4.0",)), ("attribution-noncommercial-noderivatives", "by-nc-nd", ("4.0",)), ("attribution-noncommercial-sharealike", "by-nc-sa", ("4.0",)), ("attribution-noderivatives", "by-nd", ("4.0",)), ("attribution-sharealike", "by-sa", ("3.0", "4.0"))):
+    for _v in _versions:
+        MARKS[f"CC-{_short.upper()}-{_v}"] = [[f"cc {_short} {_v}|cc-{_short}-{_v}|cc-{_short} {_v}|commons {_long} {_v}"]]
+for _name in TEMPLATES:
+    _ids = [_name, *((f"{_name}-only", f"{_name}-or-later", f"{_name}+") if "GPL" in _name else ())]
+    TEMPLATES[_name] = [*TEMPLATES[_name], *(f"SPDX-License-Identifier: {x}" for x in _ids)]
+    MARKS[_name] = [*MARKS[_name], ["|".join(f"spdx-license-identifier {x.lower()}" for x in _ids)]]
 LICENCE_NAME = re.compile(r"(^|/)(un)?licen[cs]e[^/]*$|(^|/)(copying|notice|copyright)[^/]*$", re.I)
 
 
@@ -59,7 +118,10 @@ class Templates:
         self.idf = {t: math.log((1 + files) / (1 + n)) + 1 for t, n in {**dict.fromkeys(vocabulary, 0), **df}.items()}
         self.threshold = threshold
         self.by_term, self.need = {}, set()
-        for i, (_, c) in enumerate(self.rows):
+        self.marks = {name: [[(not group.startswith("!"), [f" {p} ".encode() for p in group.removeprefix("!").split("|")]) for group in groups] for groups in MARKS[name]] for name in templates if name in MARKS}
+        for groups in (g for found in self.marks.values() for g in found):
+            self.need.update(max(p.split(), key=len) for p in groups[0][1])  # a unit with a phrase of the first group has that word
+        for i, (name, c) in enumerate(self.rows):
             w = {t: n * self.idf[t] for t, n in c.items()}
             norm = math.sqrt(sum(x * x for x in w.values()))
             w = {t: x / norm for t, x in w.items()}
@@ -67,7 +129,7 @@ class Templates:
             for t in sorted(w, key=lambda t: (w[t], t)):
                 self.by_term.setdefault(t, []).append((i, w[t]))
                 rest += w[t] ** 2
-                if rest >= threshold**2:  # the lighter terms alone fall short
+                if rest >= threshold**2 and name not in self.marks:  # the lighter terms alone fall short
                     self.need.add(t)
 
     def weigh(self, unit: list[bytes]) -> tuple[float, str, float, dict[bytes, int]] | None:
@@ -82,11 +144,14 @@ class Templates:
             own += w * w
             for i, x in self.by_term.get(t, ()):
                 dots[i] = dots.get(i, 0.0) + w * x
-        if not dots:
-            return None
-        best = min(dots, key=lambda i: (-round(dots[i], 12), i))
-        highest = dots[best] / math.sqrt(own + sum((n * self.other) ** 2 for n in rest.values()))
-        return (dots[best], self.rows[best][0], own, rest) if round(highest, 9) >= self.threshold else None
+        norm = math.sqrt(own + sum((n * self.other) ** 2 for n in rest.values()))
+        near = sorted((-round(x, 12), i) for i, x in dots.items() if round(x / norm, 9) >= self.threshold)
+        joined = b" " + b" ".join(unit) + b" " if near else b""
+        for _, i in near:
+            name = self.rows[i][0]
+            if name not in self.marks or any(all(any(p in joined for p in group) == wanted for wanted, group in groups) for groups in self.marks[name]):
+                return dots[i], name, own, rest
+        return None
 
     def units(self, raw: bytes, brute: bool = False) -> list[tuple[float, str, float, dict[bytes, int], bool]]:
         """What `weigh` tells of each unit that may match, and whether the unit is the whole text."""

@@ -95,3 +95,15 @@ def test_words_that_do_not_travel_have_the_same_weights(spark):
     want = {i: brute.scan(x.encode(), brute=True)[:2] for i, _, x in rows}
     assert some[0] == some[1] == some[2]
     assert {r[0]: (r[3], r[2]) for r in some[0] if r[4] == "own"} == {i: v for i, v in want.items() if v[1]}
+
+
+@pytest.mark.parametrize("name,text", [
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "licensed under the GNU General Public License, version 2."), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"), ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"), ("ISC", "SPDX-License-Identifier: ISC"), (None, "SPDX-License-Identifier: EUPL-1.2"),
+    (None, "licensed under the GNU General Public License, version 9."), (None, "Licensed under the Apache License, Version 1.1."), (None, "Licensed under CC BY 2.5."),
+    (None, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."), ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"), ("MIT", licences.TEMPLATES["MIT"][2].replace(". ", ".\n\n")),
+])
+def test_names_and_versions_are_told_apart(name, text):
+    assert model().scan(f"{PROSE}\n{text}\n{PROSE}".encode())[1] == name
