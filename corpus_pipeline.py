@@ -27,13 +27,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near-duplicates; of rows with that id, one."""
-    found = simhash.near_duplicates(docs)
-    kept = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")))
+    """Keeps one document of each group of near-duplicates: that of least id, null last; of a group's rows with that id, one."""
+    own = mixing.mark_of("text", "source")
+    kept = cut(simhash.representatives(docs, own).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("n").alias("__n")))
     # both joins with whole texts are merge joins at every size: their other side grows with the corpus
-    chosen = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    if not kept.where("__n > 1").isEmpty():  # rows of one id: a second pass over these alone
-        chosen = chosen.where("__n = 1").union(chosen.where("__n > 1").dropDuplicates(["doc_id"]))
+    rows = docs.withColumn("__own", own)
+    chosen = rows.join(kept.hint("merge"), rows["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (rows["__own"] == F.col("__mark")))
+    if not kept.where("__n > 1").isEmpty():  # rows alike in id, text and source: a second pass over these alone
+        chosen = chosen.where("__n = 1").union(chosen.where("__n > 1").dropDuplicates(["__id", "__mark"]))
     return chosen.select(*docs.columns)
 
 

@@ -22,7 +22,7 @@ from itertools import combinations, product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut
@@ -49,15 +49,17 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     return int(np.packbits(tally * 2 > count, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, mark: Column | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; with `mark`, a long, that too."""
+    marked = [] if mark is None else [mark.alias("mark")]
+    names = ["doc_id", "fp", "mark"][: 2 + len(marked)]
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in as_bytes(batch.column(1)).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *marked).mapInArrow(run, "doc_id long, fp long" + ", mark long" * len(marked))
 
 
 class Forest:
@@ -192,12 +194,27 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, root): the fingerprint that names each distinct fingerprint's component."""
+    found = components(pair_edges(distinct, Forest.for_words(distinct.count(), radius)))
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def representatives(docs: DataFrame, mark: Column, text: str = "text", doc_id: str = "doc_id", radius: int = 4, shingle: int = 4) -> DataFrame:
+    """(doc_id, mark, n): a row for each component, its row of least id (null last), then mark, and how many rows are alike in both.
+
+    `mark` tells rows of one id apart by their text: ids may be null or stand for several texts."""
+    rows = fingerprints(docs, text, doc_id, shingle, mark).groupBy("fp", "doc_id", "mark").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "mark", "n")).alias("least")
+    distinct = cut(rows.groupBy("fp").agg(least))
+    return rooted(distinct, radius).groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.mark", "least.n")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 4, shingle: int = 4) -> DataFrame:
     """A row for each document: doc_id, fingerprint (16 hex digits), component_id (least id that links reach)."""
     prints = cut(fingerprints(docs, text, doc_id, shingle))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(pair_edges(distinct, Forest.for_words(distinct.count(), radius)))
-    member = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    member = rooted(distinct, radius)
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = member.join(named, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -89,3 +89,11 @@ def test_run_equals_the_stages_by_hand(spark, docs):
     codec = bpe.codec(cp.BPE_FILE, cp.public_tokenizers.PATTERN)
     want = Counter({(i, len(codec.encoding.encode_ordinary(texts[i]))): copies[i] for i in kept if copies[i]})
     assert Counter((r["doc_id"], r["n_tokens"]) for r in cp.run(spark, SF).collect()) == want
+
+
+def test_dedup_tells_rows_of_one_id_apart(spark):
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcde")
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (5, d), (1, e), (None, e), (5, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in cp.near_dedup(spark, docs, SF).collect()), key=lambda x: x[1])
+    assert got == [(None, a), (None, b), (5, c), (5, d), (1, e)]
