@@ -305,13 +305,14 @@ def luma_histograms(frames: list[Frame], blocks: list[np.ndarray], bins: int = 3
     return out
 
 
-def shots(histograms: np.ndarray, window: int = 8, k: float = 3.0, least: float = 0.05) -> list[tuple[int, int]]:
-    """(first, one past last) frame of each shot. A cut's difference exceeds mean + k deviations of up to `window` differences before it."""
+def shots(histograms: np.ndarray, window: int = 8, k: float = 3.0, least: float = 0.05, early: float = 0.3) -> list[tuple[int, int]]:
+    """(first, one past last) frame of each shot. A cut's difference exceeds mean + k deviations of up to `window` differences before it in its shot, or `early`
+    where there are fewer than two."""
     n = len(histograms)
     cuts, past = [0], []
     for i in range(1, n):
         d = float(np.abs(histograms[i] - histograms[i - 1]).sum()) / 2
-        if len(past) >= 2 and d > max(least, np.mean(past) + k * np.std(past)):
+        if d > (max(least, np.mean(past) + k * np.std(past)) if len(past) >= 2 else early):
             cuts.append(i)
             past = []
         else:

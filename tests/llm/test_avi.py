@@ -61,6 +61,16 @@ def test_shots_are_found():
     assert avi.shots(np.array(dark)) == [(0, 10)] and avi.shots(np.zeros((0, 8))) == []
 
 
+def test_early_cuts_and_short_scenes_are_found():
+    g = np.random.default_rng(3)
+    scene = lambda *bins: np.array([np.eye(8)[b] + g.random(8) * 0.01 for b in bins])
+    assert avi.shots(scene(0, 5, 5, 5)) == [(0, 1), (1, 4)]
+    assert avi.shots(scene(0, 5)) == [(0, 1), (1, 2)]
+    assert avi.shots(scene(0, 0, 5, 5)) == [(0, 2), (2, 4)]
+    assert avi.shots(scene(0, 5, 2, 2, 6, 1)) == [(0, 1), (1, 2), (2, 4), (4, 5), (5, 6)]
+    assert avi.shots(scene(0, 0, 0)) == [(0, 3)]
+
+
 def test_index_is_used_and_may_be_missing():
     media = avi.write_avi(avi.pad(b"some text " * 2000))
     video = avi.read_avi(media)
