@@ -71,14 +71,18 @@ def mercator(lat: Column, lon: Column, radius: float = 6378137.0) -> tuple[Colum
 
 
 def cell_outlines(cells: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """Adds west, east, south and north of each cell, half way to its neighbours in its row and column; edge cells mirror their inner side."""
+    """Adds west, east, south and north of each cell, half way to its neighbours in its row and column; edge cells mirror their inner side.
+
+    Cells of equal coordinates have one outline; a cell without both coordinates has none."""
+    places = cells.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()).distinct()
     row, column = Window.partitionBy(y).orderBy(x), Window.partitionBy(x).orderBy(y)
     after, before = (F.lead(x).over(row) - F.col(x)) / 2, (F.col(x) - F.lag(x).over(row)) / 2
     up, down = (F.lead(y).over(column) - F.col(y)) / 2, (F.col(y) - F.lag(y).over(column)) / 2
-    return cells.withColumns({
+    outlines = places.withColumns({
         "west": F.col(x) - F.coalesce(before, after), "east": F.col(x) + F.coalesce(after, before),
         "south": F.col(y) - F.coalesce(down, up), "north": F.col(y) + F.coalesce(up, down),
     })
+    return cells.join(outlines, [x, y], "left").select(*cells.columns, "west", "east", "south", "north")
 
 
 def bounds(polygons: DataFrame, key: str = "region_id") -> DataFrame:

@@ -498,7 +498,7 @@ def j42(spark, d):
 
 @query("J44_cell_outlines", f"WITH {GRID}, c AS (SELECT DISTINCT cell, lat, lon FROM grid WHERE cell < 100) SELECT cell, lon - coalesce(lon - lag(lon) OVER a, lead(lon) OVER a - lon) / 2 AS west, lon + coalesce(lead(lon) OVER a - lon, lon - lag(lon) OVER a) / 2 AS east, lat - coalesce(lat - lag(lat) OVER b, lead(lat) OVER b - lat) / 2 AS south, lat + coalesce(lead(lat) OVER b - lat, lat - lag(lat) OVER b) / 2 AS north FROM c WINDOW a AS (PARTITION BY lat ORDER BY lon), b AS (PARTITION BY lon ORDER BY lat)")
 def j44(spark, d):
-    c = scan.grid(spark, d).where("cell < 100").select("cell", "lat", "lon").distinct()
+    c = scan.grid(spark, d).select("cell", "lat", "lon").distinct()
     return geo.cell_outlines(c, "lon", "lat").select("cell", "west", "east", "south", "north")
 
 

@@ -144,3 +144,27 @@ def test_slice_reaches_the_scan(spark):
     df = subset.time_slice(spark.read.parquet("/root/testdata/sf0.001/orders.parquet"), "1996", "1997", "o_orderdate")
     assert "GreaterThanOrEqual(o_orderdate" in df._jdf.queryExecution().executedPlan().toString()
     assert df.agg(F.max("o_orderdate")).first()[0].date() <= date(1997, 12, 31)
+
+
+def test_outlines_of_repeated_coordinates(spark):
+    rows = [(i, 0.5 * (i // 3 % 3), 0.25 * (i % 3)) for i in range(27)]  # a grid of 3 x 3 three times over
+    got = geo.cell_outlines(spark.createDataFrame([*rows, (99, None, 1.0)], "cell int, lon double, lat double"), "lon", "lat").collect()
+    assert len(got) == 28
+    for r in got:
+        if r["cell"] == 99:
+            assert r["west"] is None and r["north"] is None
+        else:
+            assert (r["west"], r["east"], r["south"], r["north"]) == (r["lon"] - 0.25, r["lon"] + 0.25, r["lat"] - 0.125, r["lat"] + 0.125)
+
+
+def test_outlines_are_of_every_cell(spark):
+    import duckdb
+
+    from tephra.plans.catalog_queries import ORACLES, QUERIES
+
+    sf, con = "/root/testdata/sf0.1", duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{sf}/lineitem.parquet'")
+    got = {r["cell"]: tuple(r)[1:] for r in QUERIES["J44_cell_outlines"](spark, sf).collect()}
+    assert set(got) == {x for (x,) in con.execute("SELECT DISTINCT l_suppkey FROM lineitem").fetchall()} and len(got) > 100
+    for cell, *sides in con.execute(ORACLES["J44_cell_outlines"]).fetchall():  # the SQL has the cells below 100
+        assert got[cell] == pytest.approx(tuple(sides))
