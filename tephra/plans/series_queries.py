@@ -305,7 +305,7 @@ def j03(spark, d):
 
 @query("J04_fit_with_ks")
 def j04(spark, d):
-    return extremes.fit_series(extremes.block_extremes(scan.daily(spark, d), ["sim"]), ["sim"], [10, 50], "gumbel", bootstraps=50)
+    return extremes.fit_series(extremes.block_extremes(scan.daily(spark, d), ["sim"]), ["sim"], [10, 50], "gumbel")
 
 
 @query("J05_quantile_delta_mapping")
@@ -313,7 +313,7 @@ def j05(spark, d):
     s = scan.scenarios(spark, d)
     obs = s.where("scenario = 'F'").groupBy("gcm", "time").agg(F.avg("value").alias("value"))
     model = s.where("scenario = 'O'").select("gcm", "time", "value")
-    return bias.quantile_delta_mapping(obs, model, ["gcm"], (1995, 1997), half_window=15)
+    return bias.quantile_delta_mapping(obs, model, ["gcm"], (1995, 1997))
 
 
 @query("J08_two_sample_ks", f"""WITH {DAILY}, u AS (SELECT sim, value AS x, CASE WHEN year(time) <= 1997 THEN 1 ELSE 0 END AS s FROM daily WHERE year(time) <= 1997 OR year(time) >= 1999), st AS (SELECT sim, x, sum(s) AS na, sum(1 - s) AS nb FROM u GROUP BY 1, 2),

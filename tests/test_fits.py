@@ -107,3 +107,17 @@ def test_ramp_never_lowers_a_maximum(spark):
     event = spark.createDataFrame([("a", 30.0)], "sim string, return_value double")
     got = {r["hour_of_year"]: r["value"] for r in profiles.insert_event(profile, event, ["sim"], at=50, half=10).collect()}
     assert got[50] == 30.0 and got[45] == 20.0 and got[40] == 10.0 and got[0] == 10.0
+
+
+def test_registered_fits_and_mappings_have_the_whole_window(spark, monkeypatch):
+    import inspect
+
+    from tephra.plans import catalog_queries
+
+    seen = {}
+    for module, name in ((bias, "quantile_delta_mapping"), (extremes, "fit_series")):
+        whole = inspect.signature(getattr(module, name))
+        monkeypatch.setattr(module, name, lambda *a, whole=whole, **k: (b := whole.bind(*a, **k)).apply_defaults() or seen.update(b.arguments))
+    for name in ("J04_fit_with_ks", "J05_quantile_delta_mapping"):
+        catalog_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen["half_window"] == 45 and seen["bootstraps"] == 100
