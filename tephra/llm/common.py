@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SALTS = 64
+_open: list[list[str]] = []  # what `cut` wrote within each `scratch` that is open
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,12 +36,64 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and continue from the files, so lost executors cost no recomputation of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tephra-{uuid.uuid4().hex}"
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df as files in path, and the frame that reads them."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tephra_path = path
+    return out
+
+
+def cut(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
+    """Write df once to the shared folder and continue from the files, so lost executors cost no recomputation of it.
+
+    The files of `instead`, an earlier cut that nothing reads any more, are deleted."""
+    out = written(df, f"{shared_dir(df.sparkSession)}/tephra-{uuid.uuid4().hex}")
+    if instead is not None:
+        delete(df.sparkSession, instead._tephra_path)
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, *more: str):
+    """For work whose result is written within it: at its end the files of the cuts made in it are deleted, and the folders `more`."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in [*_open.pop(), *more]:
+            delete(spark, path)
+
+
+def hot_keys(counts: DataFrame, key: str, total: int, n: str = "n") -> list:
+    """The keys that hold over a thousandth of `total` rows, so fewer than a thousand; counts has a row for each key."""
+    return [r[0] for r in counts.where(F.col(n) > max(256, total // 1000)).select(key).collect()]
+
+
+def salt(key: Column, hot: list, spread: Column) -> Column:
+    """For the side with many rows of a key: hot keys' rows are dealt to SALTS parts by `spread`."""
+    return F.when(key.isin(hot), F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(F.lit(0)) if hot else F.lit(0)
+
+
+def salts(key: Column, hot: list) -> Column:
+    """For the side with few rows of a key: every part that the other side deals the key to, to be exploded."""
+    return F.when(key.isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, hot: list, spread: Column, how: str = "inner") -> DataFrame:
+    """big joined with small by key, where no task gets all of big's rows of a hot key."""
+    if not hot:
+        return big.join(small, key, how)
+    part = "salt of " + key
+    many = big.withColumn(part, salt(F.col(key), hot, spread))
+    return many.join(small.withColumn(part, F.explode(salts(F.col(key), hot))), [key, part], how).drop(part)
 
 
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> pa.Array:

@@ -151,3 +151,95 @@ def test_query_equals_brute_force(spark):
     own = classes(fps)
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in op3_simhash_vptree(spark, sf).collect()}
     assert got == {r["doc_id"]: (f"{x:016x}", docs[c]["doc_id"]) for r, x, c in zip(docs, fps, own, strict=True)}
+
+
+def joined(fps, a, b):
+    parent = list(range(len(fps)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x, y in zip(a, b, strict=True):
+        assert (int(fps[x]) ^ int(fps[y])).bit_count() <= 4
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("blocks,shared,leaf", [(1, 1, 20), (2, 1, 20), (3, 1, 10), (3, 1, 50), (5, 1, 10), (6, 2, 10), (7, 3, 10)])
+def test_trees_prune_and_find_every_pair(blocks, shared, leaf):
+    fps = np.array(near(400, blocks, 7), np.uint64)
+    trees = simhash.Trees(fps[::2], len(fps), 4, blocks, shared, leaf=leaf, most=16)
+    pairs, asked, stored = set(), 0, 0
+    by = {}
+    for at, shard, own in trees.deal(fps):
+        stored += int(own.sum())
+        asked += int((~own).sum())
+        for i, s, o in zip(at.tolist(), shard.tolist(), own.tolist(), strict=True):
+            by.setdefault(s, []).append((i, o))
+    assert stored == len(fps) * len(trees.masks) and (asked > 0) == (trees.q > 0)
+    assert asked < stored * ((1 << trees.levels) - 1)  # some branch was pruned
+    a, b = [], []
+    for s, held in by.items():
+        at, own = np.array([i for i, _ in held]), np.array([o for _, o in held])
+        for i, o in held:
+            pairs |= {(i, j) for j, _ in held if o}
+        x, y = simhash.settle(fps[at], own, trees.mask_of(s), trees.q, 4, bucket=4)
+        a += at[x].tolist()
+        b += at[y].tolist()
+    close = [(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4]
+    assert all((i, j) in pairs or (j, i) in pairs for i, j in close)
+    assert joined(fps, a, b) == classes([int(x) for x in fps])
+    homes = trees.homes(fps)
+    assert len(homes) == len(trees.masks) and all(len(h) == len(fps) for h in homes)
+
+
+def test_dense_balls_and_equal_blocks_are_settled():
+    g = np.random.default_rng(5)
+    centre = int(g.integers(0, 1 << 63))
+    ball = {centre ^ sum(1 << int(b) for b in g.choice(64, int(g.integers(0, 3)), replace=False)) for _ in range(3000)}
+    same_block = {(centre & 0x1FFFFF) | int(x) << 21 for x in g.integers(0, 1 << 42, 1500)}
+    fps = np.array(sorted(ball | same_block), np.uint64)
+    met = []
+    a, b = simhash.settle(fps, np.ones(len(fps), bool), (1 << 21) - 1, 1, 4, met=met)
+    assert len(a) < len(fps)  # a forest, not all pairs
+    got = joined(fps, a.tolist(), b.tolist())
+    want = {}
+    for i, x in enumerate(fps.tolist()):
+        want[i] = {j for j in np.flatnonzero(np.bitwise_count(fps ^ np.uint64(x)) <= 4).tolist()}
+    assert all(got[i] == got[j] for i, near_ones in want.items() for j in near_ones)
+
+
+def test_words_met_grow_slowly():
+    g = np.random.default_rng(1)
+    seen = []
+    for n in (20_000, 60_000):
+        fps = np.unique(g.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        met = []
+        simhash.settle(fps, np.ones(len(fps), bool), (1 << 21) - 1, 0, 4, met=met)
+        seen.append(sum(met) / len(fps))
+    assert max(seen) < 100 and seen[1] < 1.5 * seen[0]
+
+
+def test_hot_roots_and_fingerprints_keep_every_row(spark):
+    """Thousands of copies of one text, of the empty text, and a component of many fingerprints: the joins deal them to several keys."""
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base)) for i in range(900)] + [(1000 + i, None) for i in range(700)]
+    rows += [(3000 + i, " ".join([*base[:-1], f"last{i}"])) for i in range(400)] + [(5000, "alone by itself")]
+    got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    fps = {t: plain(t) for _, t in rows}
+    words = sorted(set(fps.values()))
+    own = dict(zip(words, classes(words), strict=True))
+    least = {}
+    for i, t in rows:
+        least[own[fps[t]]] = min(least.get(own[fps[t]], i), i)
+    assert got == {i: (fps[t], least[own[fps[t]]]) for i, t in rows}
+    assert least[own[fps[rows[0][1]]]] == 0 and least[own[0]] == 1000
+
+
+def test_the_middle_of_a_large_star(spark):
+    edges = spark.createDataFrame([(5, 10 + i) for i in range(3000)] + [(5, 1), (3, 4)], "src long, dst long")
+    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert got.pop(3, 3) == 3 and got.pop(4) == 3 and got.pop(1, 1) == 1 and set(got.values()) == {1} and len(got) == 3001
