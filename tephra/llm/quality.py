@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import slices
 
 BUCKETS = 1 << 15
 RANK = 8
@@ -115,7 +116,7 @@ class Machine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train, text: str = "text", doc_id: str = "doc_id", n_chars: str = "n_chars", label: str = "quality", most: int = 8000) -> Machine:
-    """Learns from at most `most` labelled texts of the training fold, those with the least hash of their id; only their features reach the driver."""
+    """Learns from at most `most` labelled texts of the training fold, those with the least hash of their id, then of their text; only their features reach the driver."""
     marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.max(label).alias("y"))
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     marks = marks.withColumn("doc_id", F.col("id")).where(train)
@@ -125,11 +126,14 @@ def fit(docs: DataFrame, labels: DataFrame, train, text: str = "text", doc_id: s
 
     def extract(batches):
         for batch in batches:
-            ids, stats = zip(*[features(t or b"", n) for t, n in zip(as_bytes(batch.column(1)).to_pylist(), batch.column(2).to_pylist(), strict=True)], strict=True) if len(batch) else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array(list(stats), pa.list_(pa.float32()))], ["id", "y", "words", "stats"])
-
-    got = rows.join(F.broadcast(chosen), "id").select("id", "text", "n_chars", "y").mapInArrow(extract, "id long, y int, words array<int>, stats array<float>").toArrow()
-    got = got.sort_by("id")
+            for part, raw in slices(batch, "text", 512, 4 << 20):
+                ids, stats = zip(*[features(t or b"", n) for t, n in zip(raw.to_pylist(), part.column(2).to_pylist(), strict=True)], strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), part.column(4), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array(list(stats), pa.list_(pa.float32()))], ["id", "y", "mark", "words", "stats"])
+
+    joined = rows.join(F.broadcast(chosen), "id").select("id", "text", "n_chars", "y", F.xxhash64("text", "n_chars").alias("mark"))
+    # ids may be repeated: the limit holds for rows, in the order of id, text and number of characters, so only equal rows are alike
+    got = joined.mapInArrow(extract, "id long, y int, mark long, words array<int>, stats array<float>").orderBy(draw, "id", "mark").limit(most).toArrow()
+    got = got.sort_by([("id", "ascending"), ("mark", "ascending")])
     flat = got["words"].combine_chunks()
     ids = [np.asarray(x, np.int64) for x in flat.to_pylist()]
     stats = np.array(got["stats"].to_pylist(), np.float32).reshape(-1, STATS)
@@ -137,18 +141,19 @@ def fit(docs: DataFrame, labels: DataFrame, train, text: str = "text", doc_id: s
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", n_chars: str = "n_chars", keep: list | None = None, score_col: str = "score") -> DataFrame:
-    """The columns `keep` (default: all, but for one that the score replaces) of docs with the score."""
+    """The columns `keep` (default: all, but for one that the score replaces) of docs with the score. Only texts and numbers of characters go to Python."""
     shipped = docs.sparkSession.sparkContext.broadcast(machine)  # BUCKETS x (RANK + 1) numbers
     keep = [F.col(c) for c in docs.columns if c != score_col] if keep is None else keep
     n = F.col(n_chars).cast("long") if n_chars in docs.columns else F.lit(None).cast("long")
 
-    def run(batches):
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         machine = shipped.value
-        for whole in batches:
-            for batch, raw in slices(whole, "__text", 512, 4 << 20):
-                ids, stats = zip(*[features(t or b"", k) for t, k in zip(raw.to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)], strict=True)
-                s = machine.score(list(ids), np.stack(stats))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(s.astype(float))], [*batch.schema.names[:-2], score_col])
-
-    schema = docs.select(*keep).schema.add(score_col, "double")
-    return docs.select(*keep, F.col(text).alias("__text"), n.alias("__n")).mapInArrow(run, schema)
+        for texts, sizes in batches:
+            out = [np.zeros(0)]
+            for part, raw in slices(pa.RecordBatch.from_arrays([texts, sizes], ["text", "n"]), "text", 512, 4 << 20):
+                ids, stats = zip(*[features(t or b"", k) for t, k in zip(raw.to_pylist(), part.column(1).to_pylist(), strict=True)], strict=True)
+                out.append(machine.score(list(ids), np.stack(stats)).astype(float))
+            yield pa.array(np.concatenate(out))
+
+    found = F.arrow_udf(run, "double").asNondeterministic()  # so that filters and columns on the score don't run it again
+    return docs.select(F.struct(*keep).alias("row"), found(F.col(text), n).alias("score")).select("row.*", F.col("score").alias(score_col))

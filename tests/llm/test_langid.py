@@ -67,3 +67,47 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     got = op2_kernel_langid(spark, sf).join(truth, "doc_id").where("held_out")
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
+
+
+def test_letters_are_those_of_unicode(spark):
+    docs = spark.createDataFrame([(1, "½ ² Ⅳ ①"), (2, "ª"), (3, "ß"), (4, "_ 1")], "doc_id long, text string")
+    model = langid.fit(frame(spark), F.lit(True))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert got[1] == got[4] == "und" and got[2] != "und" and got[3] != "und"
+
+
+def test_no_language_is_left_out(spark):
+    n = 1200
+    rows = [(i, " ".join(f"{i:04d}{w}" for w in "abcdefgh"), f"l{i:04d}") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), most=1000)
+    assert len(model.langs) == n
+    got = langid.identify(docs, model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.95 * n
+
+
+def test_the_threshold_of_large_languages(spark):
+    one = spark.range(1).select(langid.thinned(F.lit((1 << 30) - 1), F.lit(10**10), F.lit(500)).alias("last"), langid.thinned(F.lit(214), F.lit(10**10), F.lit(500)).alias("first"), langid.thinned(F.lit((1 << 30) - 1), F.lit(2000), F.lit(500)).alias("all")).first()
+    assert (one["last"], one["first"], one["all"]) == (False, True, True)
+
+
+def test_the_fitted_model_equals_that_of_its_texts(spark):
+    """What the tasks count and multiply is what the whole texts give in one place."""
+    rows = [(i, f"{a} {b} {i}", lang) for i, (a, b, lang) in enumerate((a, b, lang) for lang, words in (("en", ["the", "house", "and"]), ("de", ["das", "haus", "und"])) for a in words for b in words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), landmarks=4)
+    draw = {r["doc_id"]: r["d"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)).alias("d")).collect()}
+    by = sorted(rows, key=lambda r: (r[2], draw[r[0]]))
+    brute = langid.Model([r[1].encode() for r in by], [r[2] for r in by], 4, 1e-4)
+    assert (model.codes == brute.codes).all()
+    raw = pa.array([r[1].encode() for r in rows] + [b"das house"], pa.large_binary())
+    assert model.predict(raw)[0] == brute.predict(raw)[0] and np.allclose(model.predict(raw)[1], brute.predict(raw)[1], atol=1e-4)
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    docs = frame(spark).withColumns({c: F.lit(1) for c in ("__text", "row", "found", "draw", "n", "at", "lang_pred")})
+    many = docs.unionByName(docs).unionByName(docs)
+    assert langid.fit(many, F.lit(True)).langs == langid.fit(docs, F.lit(True)).langs
+    got = langid.identify(many, langid.fit(many, F.lit(True)))
+    assert got.columns == [*(c for c in docs.columns if c not in ("score", "lang_pred")), "lang_pred", "score"] and got.count() == 36
+    assert got.where("`__text` = 1 and found = 1").count() == 36

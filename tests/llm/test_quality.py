@@ -68,3 +68,19 @@ def test_held_out_accuracy(spark):
     got = op10_fm_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
     assert got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] > 0.93
     assert got.where("quality = 1").agg(F.avg("predicted")).first()[0] > 0.97
+
+
+def test_repeated_ids_are_bounded_and_in_a_defined_order(spark):
+    rows = [(i % 40, f"word{i % 80} " * (1 + i % 80), "x", "s", i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    a = quality.fit(docs.repartition(7, "n_chars"), labels, F.lit(True), most=50)
+    b = quality.fit(docs.repartition(3, "text"), labels, F.lit(True), most=50)
+    assert a.trained and (a.w == b.w).all() and a.share == b.share
+
+
+def test_clashing_columns(spark):
+    docs = frame(spark).withColumns({c: F.lit(1) for c in ("__text", "__n", "row", "id", "y", "mark")})
+    m = quality.fit(docs, spark.createDataFrame([(1, 1), (7, 0), (8, 0)], "doc_id long, quality int"), F.lit(True))
+    got = quality.score(docs, m)
+    assert got.columns == [*(c for c in docs.columns if c != "score"), "score"] and got.where("`__n` = 1 and mark = 1").count() == docs.count()
