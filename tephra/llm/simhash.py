@@ -377,6 +377,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # a fingerprint, and a component's root, may hold a large part of the rows: neither join sends all of them to one task
     words, rows = member.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     by_print = join_hot(member.drop("least", "n"), named.select("root", "component_id"), "root", hot_keys(named, "root", words), F.xxhash64("fp"))
-    spread = F.xxhash64("doc_id", F.monotonically_increasing_id())
+    spread = F.xxhash64("doc_id", F.spark_partition_id())  # the same whenever a task is run again
     joined = join_hot(prints, by_print.select("fp", "component_id"), "fp", hot_keys(member, "fp", rows), spread)
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tephra.llm import bpe, langid, mixing, quality, simhash
@@ -97,3 +98,51 @@ def test_dedup_tells_rows_of_one_id_apart(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r["doc_id"], r["text"]) for r in cp.near_dedup(spark, docs, SF).collect()), key=lambda x: x[1])
     assert got == [(None, a), (None, b), (5, c), (5, d), (1, e)]
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_language_stage_without_labels_keeps_texts(spark, docs):
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert cp.language_id(spark, bare, SF).count() == docs.where(F.col("text").rlike(r"\p{L}")).count() > 0
+
+
+def test_language_stage_drops_what_no_language_takes(spark, docs):
+    strange = [(10**6 + i, t, None, "web", len(t or "")) for i, t in enumerate(["日本語の長い文章です。" * 40, "0f3a9c" * 200, "Ereaea.", "1234 5678", None])]
+    more = docs.unionByName(spark.createDataFrame(strange, DOCS))
+    got = {r["doc_id"] for r in cp.language_id(spark, more, SF).collect()}
+    assert got == {r["doc_id"] for r in docs.where(F.col("text").rlike(r"\p{L}")).collect()} | {10**6 + 2}
+
+
+def test_extra_columns_of_any_name_pass_through(spark):
+    names = ["__n", "__id", "__text", "__copies", "__mark", "row", "id", "n", "own", "mark", "part", "few_part", "copies", "copy", "score", "found", "at", "turn", "before", "lang_pred"]
+    rows = [(i, f"some words of text number {i} " * (1 + i % 3), "en", "ab"[i % 2], 10 + i) for i in range(30)]
+    wide = spark.createDataFrame([*rows, rows[0], rows[0]], DOCS).withColumns({c: F.lit(7) for c in names})
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns and out.where("`__n` = 7 and few_part = 7 and lang_pred = 7").count() == out.count() > 0
+    assert cp.byte_bpe(spark, wide, SF).count() == wide.count()
+
+
+def test_many_rows_that_are_alike(spark):
+    """More of them than a thousandth of all rows and 256: they are dealt to several parts, and none is lost or doubled."""
+    rows = [(None, "the same words in every row", "en", "a", 27)] * 900 + [(i, f"other words {i} {i * 7}", "en", "ab"[i % 2], 20) for i in range(100)] + [(5, None, "en", "b", None)] * 300
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = Counter((r["doc_id"], r["text"]) for r in cp.near_dedup(spark, docs, SF).collect())
+    assert kept[None, rows[0][1]] == 1 and kept[5, None] == 1 and len(kept) == 102 == sum(kept.values())
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"], r["mark"]] += r["copies"]
+    got = Counter((r["doc_id"], r["mark"]) for r in cp.source_mixture(spark, docs, SF).select("doc_id", mixing.mark_of("text", "source").alias("mark")).collect())
+    assert got == +want
+
+
+def test_run_deletes_what_its_stages_wrote(spark):
+    import os
+
+    folder = cp.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert cp.run(spark, SF).count() > 0
+    left = set(os.listdir(folder)) - before
+    assert len([x for x in left if not x.startswith(".")]) == 1  # the last stage's documents, which the result reads
