@@ -8,6 +8,9 @@ The sample that is stored is thus the format's unit, the quantised coefficient;
 Shots: luma histograms of successive frames are compared; a cut is where the difference exceeds the mean plus `k` deviations of the
 differences in a window before it. Rows of clips carry times.
 
+Frames without Huffman tables, as motion-JPEG files often have them, are decoded by the standard's. Frames in `rec ` lists are found; of an OpenDML file the
+first RIFF chunk is read. Files are written and read frame by frame: beside the payload and the file, only a few frames are held.
+
 Rules for odd input: a null text is empty; an empty text has one unit of spaces; equal texts give equal files; repeated rows are
 stored each; an empty table gives an empty result; long texts become many frames.
 """
@@ -29,11 +32,36 @@ from .common import as_bytes
 UNIT = 192
 UNITS = 16  # in a frame at most: 64 x 16 pixels, 3,072 bytes
 FPS = 10
+TOGETHER = 64  # frames written at once
 #: Fixed values of the JPEG standard: the zigzag order of an 8 x 8 block.
 ZIGZAG = np.array([
     0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
     35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63,
 ])
+#: Fixed values of the JPEG standard, annex K: Huffman tables by class and number (0 and 1 for luma, chroma; 16 more for the AC ones), as the numbers of codes of each length and the symbols.
+_TAIL = "43-4a 53-5a 63-6a 73-7a"
+_STANDARD = {
+    0: ("0 1 5 1 1 1 1 1 1 0 0 0 0 0 0 0", "00-0b"),
+    1: ("0 3 1 1 1 1 1 1 1 1 1 0 0 0 0 0", "00-0b"),
+    16: (
+        "0 2 1 3 3 2 4 3 5 5 4 4 0 0 1 125",
+        "01-03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09 0a 16-1a 25-2a 34-3a "
+        + _TAIL + " 83-8a 92-9a a2-aa b2-ba c2-ca d2-da e1-ea f1-fa",
+    ),
+    17: (
+        "0 2 1 2 4 4 3 4 7 5 4 4 0 1 2 119",
+        "00-03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1 17-1a 26-2a 35-3a "
+        + _TAIL + " 82-8a 92-9a a2-aa b2-ba c2-ca d2-da e2-ea f2-fa",
+    ),
+}
+
+
+def _table(counts: str, symbols: str) -> tuple[bytes, bytes]:
+    spans = [[int(x, 16) for x in part.split("-")] for part in symbols.split()]
+    return bytes(map(int, counts.split())), bytes(x for span in spans for x in range(span[0], span[-1] + 1))
+
+
+STANDARD = {key: _table(*text) for key, text in _STANDARD.items()}
 
 
 def _idct() -> np.ndarray:
@@ -96,24 +124,29 @@ def write_avi(payload: bytes) -> bytes:
     down = -(-side // across)
     n = across * down
     frames = -(-total // n)
-    data = np.full(frames * n * UNIT, 32, np.uint8)
-    data[: len(payload)] = np.frombuffer(payload, np.uint8)
     head = _frame_head(8 * across, 8 * down)
-    images = [head + s + b"\xff\xd9" for s in _scans(data.reshape(frames, n, UNIT))]
-    movi, index, at = [], [], 4
-    for image in images:
-        movi.append(_chunk(b"00dc", image))
-        index.append(struct.pack("<4sIII", b"00dc", 0x10, at, len(image)))
-        at += len(movi[-1])
-    largest = max(map(len, images))
+    movi, index, largest = bytearray(b"movi"), bytearray(), 0
+    for first in range(0, frames, TOGETHER):
+        some = min(TOGETHER, frames - first)
+        data = np.full(some * n * UNIT, 32, np.uint8)
+        part = np.frombuffer(payload, np.uint8, min(len(data), len(payload) - first * n * UNIT), first * n * UNIT)
+        data[: len(part)] = part
+        for scan in _scans(data.reshape(some, n, UNIT)):
+            size = len(head) + len(scan) + 2
+            index += struct.pack("<4sIII", b"00dc", 0x10, len(movi), size)
+            movi += b"00dc" + struct.pack("<I", size) + head + scan + b"\xff\xd9" + b"\x00" * (size & 1)
+            largest = max(largest, size)
     width, height = 8 * across, 8 * down
     main = struct.pack("<14I", 1_000_000 // FPS, largest * FPS, 0, 0x10, frames, 0, 1, largest, width, height, 0, 0, 0, 0)
     stream = struct.pack("<4s4sIHHIIIIIIII4H", b"vids", b"MJPG", 0, 0, 0, 0, 1, FPS, 0, frames, largest, 0xFFFFFFFF, 0, 0, 0, width, height)
     form = struct.pack("<IiiHH4sIiiII", 40, width, height, 1, 24, b"MJPG", width * height * 3, 0, 0, 0, 0)
     hdrl = _list(b"hdrl", _chunk(b"avih", main) + _list(b"strl", _chunk(b"strh", stream) + _chunk(b"strf", form)))
     info = _list(b"INFO", _chunk(b"ICMT", b"payload=%d" % len(payload)))
-    body = b"AVI " + hdrl + info + _list(b"movi", b"".join(movi)) + _chunk(b"idx1", b"".join(index))
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+    size = 4 + len(hdrl) + len(info) + 8 + len(movi) + 8 + len(index)
+    out = bytearray(b"RIFF" + struct.pack("<I", size) + b"AVI " + hdrl + info + b"LIST" + struct.pack("<I", len(movi)))
+    out += movi
+    out += b"idx1" + struct.pack("<I", len(index)) + index
+    return out
 
 
 # --- reading ---------------------------------------------------------------------------------------------------------------
@@ -135,6 +168,15 @@ def _chunks(data: memoryview, at: int, end: int):
         at += 8 + size + (size & 1)
 
 
+def _in_movi(data: memoryview, at: int, end: int):
+    """The chunks of a movi list, those of its `rec ` lists included."""
+    for name, a, b in _chunks(data, at, end):
+        if name == b"LIST" and bytes(data[a : a + 4]) == b"rec ":
+            yield from _in_movi(data, a + 4, b)
+        else:
+            yield name, a, b
+
+
 def read_avi(raw: bytes) -> Video:
     """Frames by the file's index, or by its movi list if there is none."""
     data = memoryview(raw)
@@ -147,7 +189,7 @@ def read_avi(raw: bytes) -> Video:
             if name == b"LIST":
                 if bytes(data[a : a + 4]) == b"movi":
                     movi = (a, b)
-                else:
+                elif bytes(data[a : a + 4]) != b"rec ":
                     todo.append((a + 4, b))
             elif name == b"avih":
                 rate, (width, height) = 1e6 / struct.unpack_from("<I", data, a)[0], struct.unpack_from("<II", data, a + 32)
@@ -161,7 +203,7 @@ def read_avi(raw: bytes) -> Video:
         base = movi[0] if bytes(data[movi[0] + index[0][2] : movi[0] + index[0][2] + 4]) == index[0][0] else 0  # some files count from the file's start
         frames = [data[base + at + 8 : base + at + 8 + size] for name, _, at, size in index if name[2:] in (b"dc", b"db")]
     else:
-        frames = [data[a:b] for name, a, b in _chunks(data, movi[0] + 4, movi[1]) if name[2:] in (b"dc", b"db")]
+        frames = [data[a:b] for name, a, b in _in_movi(data, movi[0] + 4, movi[1]) if name[2:] in (b"dc", b"db")]
     return Video(rate, width, height, frames, payload)
 
 
@@ -235,7 +277,7 @@ def coefficients(frame: Frame) -> np.ndarray:
 def _general(frame: Frame, scan: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Any baseline Huffman scan, bit by bit."""
     lookup = {}
-    for key, (counts, symbols) in frame.huffman.items():
+    for key, (counts, symbols) in {**STANDARD, **frame.huffman}.items():
         code, k, table = 0, 0, {}
         for length, n in enumerate(counts, 1):
             for _ in range(n):
@@ -288,21 +330,21 @@ def _general(frame: Frame, scan: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return np.array(out, np.int32)
 
 
-def payload(video: Video, blocks: list[np.ndarray]) -> bytes:
-    """The bytes that write_avi stored."""
-    value = np.concatenate(blocks).reshape(-1)
-    return (np.where(value < 0, value + 255, value).astype(np.uint8)).tobytes()[: video.payload_bytes]
+def payload(blocks: np.ndarray) -> bytes:
+    """The bytes that write_avi stored in a frame."""
+    return np.where(blocks < 0, blocks + 255, blocks).astype(np.uint8).tobytes()
+
+
+def luma_histogram(f: Frame, b: np.ndarray, bins: int = 32) -> np.ndarray:
+    """Shares of the first component's pixels after the inverse transform."""
+    per = [(s >> 4) * (s & 15) for _, _, s in f.parts]
+    y = b.reshape(-1, sum(per), 64)[:, : per[0]].reshape(-1, 64).astype(np.float32)
+    pixels = np.clip((y * f.quant[f.parts[0][1]]) @ IDCT + 128, 0, 255).astype(np.uint8)
+    return np.bincount((pixels >> (8 - int(np.log2(bins)))).reshape(-1), minlength=bins) / pixels.size
 
 
 def luma_histograms(frames: list[Frame], blocks: list[np.ndarray], bins: int = 32) -> np.ndarray:
-    """frames x bins shares of the first component's pixels after the inverse transform."""
-    out = np.zeros((len(blocks), bins))
-    for i, (f, b) in enumerate(zip(frames, blocks, strict=True)):
-        per = [(s >> 4) * (s & 15) for _, _, s in f.parts]
-        y = b.reshape(-1, sum(per), 64)[:, : per[0]].reshape(-1, 64).astype(np.float32)
-        pixels = np.clip((y * f.quant[f.parts[0][1]]) @ IDCT + 128, 0, 255).astype(np.uint8)
-        out[i] = np.bincount((pixels >> (8 - int(np.log2(bins)))).reshape(-1), minlength=bins) / pixels.size
-    return out
+    return np.array([luma_histogram(f, b, bins) for f, b in zip(frames, blocks, strict=True)]).reshape(-1, bins)
 
 
 def shots(histograms: np.ndarray, window: int = 8, k: float = 3.0, least: float = 0.05, early: float = 0.3) -> list[tuple[int, int]]:
@@ -324,18 +366,23 @@ def pad(text: bytes) -> bytes:
     return text + b" " * (-len(text) % UNIT or (UNIT if not text else 0))
 
 
-def decode(raw: bytes) -> tuple[Video, list[Frame], list[np.ndarray]]:
-    video = read_avi(raw)
-    frames = [parse_jpeg(f) for f in video.frames]
-    return video, frames, [coefficients(f) for f in frames]
+def decode(video: Video):
+    """(frame, its coefficients) one after another."""
+    for raw in video.frames:
+        frame = parse_jpeg(raw)
+        yield frame, coefficients(frame)
 
 
 def features(raw: bytes) -> tuple[bytes, str]:
     """The payload read back, and the feature: size, frames, rate and the timed clips."""
-    video, frames, blocks = decode(raw)
-    cut = shots(luma_histograms(frames, blocks))
+    video, back, histograms = read_avi(raw), bytearray(), []
+    for frame, blocks in decode(video):
+        back += payload(blocks)
+        histograms.append(luma_histogram(frame, blocks))
+    del back[video.payload_bytes :]
+    cut = shots(np.array(histograms))
     clips = ",".join(f"{a / video.rate:.2f}-{b / video.rate:.2f}" for a, b in cut)
-    return payload(video, blocks), f"{video.width}x{video.height};frames={len(frames)};fps={video.rate:g};shots={len(cut)};clips={clips}"
+    return back, f"{video.width}x{video.height};frames={len(video.frames)};fps={video.rate:g};shots={len(cut)};clips={clips}"
 
 
 def clips(files: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
@@ -347,8 +394,9 @@ def clips(files: DataFrame, media: str = "media", key: str = "doc_id") -> DataFr
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if raw is None:
                     continue
-                video, frames, blocks = decode(raw)
-                rows += [(k, i, a, b, a / video.rate, b / video.rate) for i, (a, b) in enumerate(shots(luma_histograms(frames, blocks)))]
+                video = read_avi(raw)
+                cuts = shots(np.array([luma_histogram(frame, blocks) for frame, blocks in decode(video)]))
+                rows += [(k, i, a, b, a / video.rate, b / video.rate) for i, (a, b) in enumerate(cuts)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "clip", "start_frame", "end_frame", "start_s", "end_s"])
 
@@ -369,7 +417,7 @@ def store(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_medi
                     raw = raw or b""
                     media = write_avi(pad(raw))
                     back, feature = features(media)
-                    rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, media))
+                    rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, bytes(media) if with_media else None))
                 columns = [batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
 

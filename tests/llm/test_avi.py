@@ -98,3 +98,78 @@ def test_awkward_rows_and_clips(spark):
         by.setdefault(c["doc_id"], []).append(c)
     assert by[7][0]["start_frame"] == 0 and by[7][-1]["end_s"] == pytest.approx(by[7][-1]["end_frame"] / 10)
     assert avi.store(empty(spark)).count() == 0
+
+
+def test_the_standard_tables():
+    """Each holds every symbol once, as many as its codes, and its codes fit."""
+    for key, (counts, symbols) in avi.STANDARD.items():
+        want = set(range(12)) if key < 16 else {0x00, 0xF0} | {run << 4 | size for run in range(16) for size in range(1, 11)}
+        assert sum(counts) == len(symbols) == len(set(symbols)) and set(symbols) == want
+        assert sum(n / 2**length for length, n in enumerate(counts, 1)) < 1
+
+
+def test_frames_without_huffman_tables():
+    """The usual motion-JPEG frame: two blocks of luma, coded with the standard's tables, that it doesn't hold itself."""
+    codes = {}
+    for key in (0, 16):
+        code, at = 0, 0
+        for length, n in enumerate(avi.STANDARD[key][0], 1):
+            for _ in range(n):
+                codes[key, avi.STANDARD[key][1][at]] = format(code, f"0{length}b")
+                code, at = code + 1, at + 1
+            code <<= 1
+    bits = codes[0, 5] + format(20, "05b") + codes[16, 0x12] + "10" + codes[16, 0xF0] + codes[16, 0x01] + "0" + codes[16, 0] + codes[0, 0] + codes[16, 0]
+    bits += "1" * (-len(bits) % 8)
+    scan = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    raw = b"\xff\xd8" + avi._segment(0xDB, b"\x00" + b"\x08" * 64) + avi._segment(0xC0, struct.pack(">BHHB", 8, 8, 16, 1) + bytes([1, 0x11, 0])) + avi._segment(0xDA, b"\x01\x01\x00\x00\x3f\x00") + scan + b"\xff\xd9"
+    blocks = avi.coefficients(avi.parse_jpeg(raw))
+    want = np.zeros((2, 64), int)
+    want[:, 0], want[0, 2], want[0, 19] = 20, 2, -1
+    assert (blocks == want).all()
+
+
+def test_frames_in_rec_lists():
+    media = bytes(avi.write_avi(avi.pad(b"some text " * 900)))
+    video = avi.read_avi(media)
+    frames = [bytes(f) for f in video.frames]
+    inner = b"".join(avi._list(b"rec ", avi._chunk(b"00dc", f)) for f in frames)
+    at = media.index(b"hdrl") - 8
+    head = media[at : at + 8 + struct.unpack_from("<I", media, at + 4)[0]]
+    body = b"AVI " + head + avi._list(b"movi", inner)
+    assert [bytes(f) for f in avi.read_avi(b"RIFF" + struct.pack("<I", len(body)) + body).frames] == frames
+
+
+def test_features_by_an_independent_decoder():
+    """The feature string told from the payload alone: the coefficients, their pixels by a plain inverse transform, and the cuts."""
+    data = avi.pad(b"a" * 9000 + bytes(range(256)) * 24 + b"zz z" * 3000)
+    back, feature = avi.features(avi.write_avi(data))
+    assert back == data
+    per_frame = 16 * 192
+    cos = [[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(1 / 8) if u == 0 else 0.5) for x in range(8)] for u in range(8)]
+    hists = []
+    for at in range(0, len(data), per_frame):
+        part = data[at : at + per_frame].ljust(per_frame, b" ")
+        hist = np.zeros(32)
+        for unit in range(16):
+            values = [v if v >= 128 else v - 255 for v in part[unit * 192 : unit * 192 + 64]]  # the first component, in zigzag order
+            grid = np.zeros((8, 8))
+            for k, v in enumerate(values):
+                grid[divmod(int(avi.ZIGZAG[k]), 8)] = v
+            pixels = np.clip(np.array(cos).T @ grid @ np.array(cos) + 128, 0, 255)
+            hist += np.bincount(pixels.astype(np.uint8).reshape(-1) >> 3, minlength=32)
+        hists.append(hist / hist.sum())
+    cut = avi.shots(np.array(hists))
+    clips = ",".join(f"{a / 10:.2f}-{b / 10:.2f}" for a, b in cut)
+    assert len(cut) > 1 and feature == f"64x16;frames={len(hists)};fps=10;shots={len(cut)};clips={clips}"
+
+
+def test_a_long_text_needs_little_more_than_itself():
+    import tracemalloc
+
+    data = avi.pad(bytes(range(256)) * 40_000)
+    tracemalloc.start()
+    media = avi.write_avi(data)
+    back, _ = avi.features(media)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert back == data and peak < 5 * len(data)
