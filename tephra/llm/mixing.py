@@ -49,6 +49,14 @@ def _number(sources: DataFrame) -> DataFrame:
     return dealt.join(F.broadcast(shift), "part").withColumn("rank", F.row_number().over(own) - 1 + F.col("shift")).drop("part", "shift", "last")
 
 
+def _told_apart(rows: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+    """A row, numbered by `turn`, for each of the n that a row stands for; the rows that many are alike are made in several tasks, and hash to several blocks."""
+    chunks = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk))))
+    if not rows.where(F.col("n") > chunk).isEmpty():
+        chunks = chunks.repartition("doc_id", "mark", "chunk")
+    return chunks.withColumn("turn", F.explode(F.sequence(F.col("chunk") * chunk, F.least(F.col("n"), (F.col("chunk") + 1) * chunk) - 1))).drop("n", "chunk")
+
+
 def pivot(size: np.ndarray, p: np.ndarray, draw) -> np.ndarray:
     """Whole copies (0 or 1) for all but at most one entry, which stays fractional; the words size * p keep their sum."""
     p = p.copy()
@@ -82,13 +90,14 @@ def mark_of(text: str, source: str) -> Column:
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 5) -> DataFrame:
     """A row for each document: doc_id, size, source_size, target, taken; and copies, at most `most`, rounded up."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"), mark_of(text, source).alias("mark")))
+    each = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"), mark_of(text, source).alias("mark"))
+    rows = cut(_told_apart(each.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("n"))))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     goal = cut(targets(sums, weights, share, most).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)).cast("long")).withColumn("sid", F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))))
     same = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     joined = rows.withColumn("k", same).join(goal.select(same.alias("k"), "sid", "source_size", "target", "blocks"), "k")
     x = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    start = joined.withColumn("x", F.when(F.col("size") > 0, x).otherwise(0.0)).select("doc_id", "size", "mark", "source_size", "target", "sid", F.pmod(F.xxhash64("doc_id", "mark"), F.col("blocks")).alias("block"), F.floor("x").cast("double").alias("whole"), (F.col("x") - F.floor("x")).alias("p"))
+    start = joined.withColumn("x", F.when(F.col("size") > 0, x).otherwise(0.0)).select("doc_id", "size", "mark", "source_size", "target", "sid", F.pmod(F.xxhash64("doc_id", "mark", "turn"), F.col("blocks")).alias("block"), F.floor("x").cast("double").alias("whole"), (F.col("x") - F.floor("x")).alias("p"))
 
     def rounded(level):
         def run(key, pdf):

@@ -1,8 +1,11 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tephra.llm import mixing
+from tephra.llm.queries import op4_pivotal_mixing
 
 from .helpers import empty, frame
 
@@ -68,3 +71,39 @@ def test_hot_source_through_the_tree(spark, monkeypatch):
     assert first == run(docs.repartition(7))
     got = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert all(abs(r["taken"] - r["target"]) <= 37 for r in got)
+
+
+def test_query_holds_its_contract_against_brute_force(spark):
+    """Sizes, sources and targets counted in plain Python; the words taken come within one document of each target, and agree from run to run."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()
+    size = {d["doc_id"]: len(re.findall(rb"[^\x20\x09-\x0d]+", (d["text"] or "").encode())) for d in docs}
+    source = {d["doc_id"]: d["source"] for d in docs}
+    order = sorted({s for s in source.values() if s is not None}) + [None] * (None in source.values())
+    total = {s: sum(size[i] for i in size if source[i] == s) for s in order}
+    target = dict(zip(order, plain_targets([total[s] for s in order]), strict=True))
+    rows = op4_pivotal_mixing(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(size)
+    taken = dict.fromkeys(order, 0)
+    for r in rows:
+        s = source[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (size[r["doc_id"]], total[s]) and r["target"] == pytest.approx(target[s])
+        assert 0 <= r["taken"] <= 2 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0)
+        share = target[s] / total[s]
+        assert r["size"] == 0 or int(share) <= r["taken"] // r["size"] <= int(share) + 1
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= max(size[i] for i in size if source[i] == s) for s in order)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, op4_pivotal_mixing(spark, sf).collect()))
+
+
+def test_many_rows_that_are_alike(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    docs = spark.createDataFrame([(None, "some words here", "a")] * 700 + [(i, f"a text {i}", "ab"[i % 2]) for i in range(300)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 1000 and sum(r["doc_id"] is None for r in rows) == 700
+    got = {}
+    for r in rows:
+        got.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+    assert len(got) == 2 and all(abs(sum(t) - target) <= 3 for (_, target), t in got.items())
+    few = spark.createDataFrame([(1, 5, 9, "s", 10)], "doc_id long, size long, mark long, source string, n long")
+    assert sorted(r["turn"] for r in mixing._told_apart(few, chunk=3).collect()) == list(range(10))
