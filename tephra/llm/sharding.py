@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import SALTS, cut, hot_keys
 
 Tree = dict  # region -> rack -> shard -> weight
 
@@ -56,12 +56,19 @@ def place(key: Column, tree: Tree, path: str = "") -> Column:
 def assign(docs: DataFrame, tree: Tree, grown: Tree, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row for each document: doc_id, size, text_crc32, law, shard, slot, grown_shard. Slots of a shard run from 0 without gaps.
 
-    Slots are counted in hash buckets of some SLOT_BUCKET rows and shifted by the rows of the buckets before, so no task holds a shard."""
+    Slots are counted in hash buckets of some SLOT_BUCKET rows and shifted by the rows of the buckets before, so no task holds a shard. Rows alike in
+    great number come last, in parts of their own: which of them gets which slot is open, for they are alike."""
     raw = F.col(text).cast("binary")
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.octet_length(raw) + 1, F.lit(1)).cast("long").alias("size"), F.coalesce(F.crc32(raw), F.lit(0)).alias("text_crc32"))
-    placed = cut(base.select("*", place(F.col("doc_id"), tree).alias("shard"), place(F.col("doc_id"), grown).alias("grown_shard")))
-    buckets = max(1, placed.count() // SLOT_BUCKET)
-    dealt = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)))
+    placed = cut(base.select("*", place(F.col("doc_id"), tree).alias("shard"), place(F.col("doc_id"), grown).alias("grown_shard"), F.xxhash64("doc_id", "text_crc32", "size").alias("alike"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("part")))
+    rows = placed.count()
+    buckets = max(1, rows // SLOT_BUCKET)
+    hot = sorted(hot_keys(placed.groupBy("alike").agg(F.count("*").alias("n")), "alike", rows))
+    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets))
+    if hot:
+        at = F.array_position(F.array(*map(F.lit, hot)), F.col("alike")).cast("long")
+        bucket = F.when(at > 0, F.lit(buckets) + (at - 1) * SALTS + F.col("part")).otherwise(bucket)
+    dealt = placed.withColumn("bucket", bucket)
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))  # a row for each bucket
     own = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
