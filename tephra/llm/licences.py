@@ -24,9 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut
+from .common import as_bytes, cut, hot_keys, join_hot
 
-SALTS = 64
 FREQUENT = 20_000
 TERM = re.compile(rb"[a-z0-9][a-z0-9.+\-]*[a-z0-9+]|[a-z0-9]")
 #: Headers, titles and the paragraphs that tell a licence, by SPDX name (one longer than that would match whole files that only hold it). `MARKS` has the names and versions that a unit must hold.
@@ -234,7 +233,9 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", key: str = "d
 
 
 def inherit(found: DataFrame) -> DataFrame:
-    """Adds origin and from_dir to (doc_id, path, license, score, speaks); one directory's licence files are settled by score, then name."""
+    """Adds origin and from_dir to (doc_id, path, license, score, speaks); one directory's licence files are settled by score, then name.
+
+    A directory may hold a large part of the files, and be above a large part of the directories: its rows are then dealt to several tasks."""
     folder = F.regexp_replace(F.col("path"), "/?[^/]*$", "")
     voices = (
         found.where("speaks and path is not null")
@@ -242,15 +243,15 @@ def inherit(found: DataFrame) -> DataFrame:
         .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("name"))).alias("v"))
         .select("dir", F.col("v.name").alias("given"), (-F.col("v.s")).alias("given_score"))
     )
-    bare = found.where("license is null and path is not null").select(folder.alias("folder")).distinct()
+    bare = cut(found.where("license is null and path is not null").groupBy(folder.alias("folder")).agg(F.count("*").alias("n")))
+    folders, files = bare.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = F.split("folder", "/")
     above = bare.select("folder", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("dir")))).alias("a")).select("folder", "a.depth", "a.dir")
-    nearest = above.join(voices, "dir").groupBy("folder").agg(F.max_by(F.struct("dir", "given", "given_score"), "depth").alias("near"))
-    # a directory may hold a large part of the files: its files are dealt to SALTS keys, and what it inherits goes to each of them
-    nearest = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    asks = found.withColumn("folder", F.when(F.col("license").isNull(), folder).otherwise(F.concat(F.lit("own:"), F.col("doc_id").cast("string")))).withColumn("salt", salt)
-    out = asks.join(nearest, ["folder", "salt"], "left")
+    high = hot_keys(above.groupBy("dir").agg(F.count("*").alias("n")), "dir", folders)
+    nearest = join_hot(above, voices.hint("merge"), "dir", high, F.xxhash64("folder")).groupBy("folder").agg(F.max_by(F.struct("dir", "given", "given_score"), "depth").alias("near"))
+    # files with a finding of their own, or without a path, ask for no directory; a key for each keeps them apart
+    asks = found.withColumn("folder", F.when(F.col("license").isNull() & F.col("path").isNotNull(), folder).otherwise(F.concat_ws(":", F.lit("none"), "doc_id", F.spark_partition_id())))
+    out = join_hot(asks, nearest.hint("merge"), "folder", hot_keys(bare, "folder", files), F.xxhash64("doc_id", F.spark_partition_id()), "left")
     own = F.col("license").isNotNull()
     return out.select(
         "doc_id",

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -107,3 +109,50 @@ def test_words_that_do_not_travel_have_the_same_weights(spark):
 ])
 def test_names_and_versions_are_told_apart(name, text):
     assert model().scan(f"{PROSE}\n{text}\n{PROSE}".encode())[1] == name
+
+
+def test_query_equals_a_tf_idf_written_out(spark):
+    """Cosines of all units and all templates, with no pruning and no shared code but the templates, the marks and the rule for words."""
+    from tephra.llm.queries import op9_license_scan
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: (r["text"] or "").lower() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    word = re.compile(r"[a-z0-9][a-z0-9.+\-]*[a-z0-9+]|[a-z0-9]")
+    df = Counter(w for t in texts.values() for w in set(word.findall(t)))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + df[w])) + 1
+
+    def vector(words):
+        v = {w: n * idf(w) for w, n in Counter(words).items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {w: x / norm for w, x in v.items()}
+
+    templates = [(name, vector(word.findall(t.lower()))) for name, some in licences.TEMPLATES.items() for t in some]
+
+    def marked(name, words):
+        joined = " " + " ".join(words) + " "
+        return any(all(any(f" {p} " in joined for p in g.removeprefix("!").split("|")) != g.startswith("!") for g in groups) for groups in licences.MARKS[name])
+
+    want = {}
+    for i, t in texts.items():
+        units = [*t.split("\n"), *re.split(r"\n\s*\n", t), t]
+        for words in map(word.findall, units):
+            v = vector(words)
+            for name, u in templates:
+                x = round(sum(a * u.get(w, 0) for w, a in v.items()), 9)
+                if x >= 0.6 and marked(name, words) and (i not in want or (-x, name) < (-want[i][0], want[i][1])):
+                    want[i] = x, name
+    got = {r["doc_id"]: (r["score"], r["license"]) for r in op9_license_scan(spark, sf).where("origin = 'own'").collect()}
+    assert set(got) == set(want) and all(got[i][1] == want[i][1] and abs(got[i][0] - want[i][0]) < 1e-6 for i in got) and got
+
+
+def test_hot_folders_and_files_without_paths(spark):
+    mit = licences.TEMPLATES["MIT"][0]
+    rows = [(0, "/LICENSE", mit), (1, "/a/LICENSE", licences.TEMPLATES["GPL-3.0"][0])] + [(10 + i, f"/a/x{i}", "nothing") for i in range(700)] + [(1000 + i, f"/d{i}/x", "nothing") for i in range(400)] + [(None, None, None)] * 300 + [(3000, None, f"{PROSE}\n{mit}")]
+    got = Counter((r["license"], r["origin"], r["from_dir"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(5)).collect())
+    assert got == {("GPL-3.0", "inherited", "/a"): 700, ("MIT", "inherited", ""): 400, (None, "none", None): 300, ("MIT", "own", None): 1, ("MIT", "own", ""): 1, ("GPL-3.0", "own", "/a"): 1}
+
+
+def test_ties_go_to_the_first_by_name(spark):
+    two = f"{licences.TEMPLATES['MIT'][0]}\n{licences.TEMPLATES['ISC'][0]}\n{licences.TEMPLATES['Apache-2.0'][0]}"
+    docs = spark.createDataFrame([(1, "/x/a", two), (2, "/x/b", "\n".join(reversed(two.split("\n"))))], "doc_id long, path string, text string")
+    assert {r["license"] for r in licences.scan(docs).collect()} == {"Apache-2.0"}
