@@ -1,7 +1,8 @@
 """LM scoring: marginal likelihood of texts under a unigram piece lattice.
 
-The pieces are those of an existing vocabulary; its scores (ranks) give the first weights, and the corpus refines them by
-expectation maximisation. A piece never crosses white space, so a text's lattice falls apart at its words: the marginal of a
+The pieces are those of an existing vocabulary, whose scores weigh all segmentations. A vocabulary of merged pairs has no probabilities: its scores are negative ranks, which
+Zipf's law turns into weights (`Lattice.prior`); `vocabulary_score` is the likelihood under these alone. The corpus refines them by
+expectation maximisation for `score`. A piece never crosses white space, so a text's lattice falls apart at its words: the marginal of a
 text is the product of its words' marginals and the end's. The forward recursion therefore runs once for each distinct
 word, over many words of one length at a time.
 
@@ -54,12 +55,14 @@ class Lattice:
         by_length: dict[int, list[tuple[int, int]]] = {}
         for i, p in enumerate(self.pieces[:-1]):
             by_length.setdefault(len(p), []).append((self._key(p), i))
-        self.tables = {}
+        self.tables, self.bytes = {}, {}
         for length, found in sorted(by_length.items()):
             keys = np.array([k for k, _ in found], dtype=np.uint64)
             order = np.argsort(keys)
             assert len(np.unique(keys)) == len(keys)
             self.tables[length] = keys[order], np.array([i for _, i in found], dtype=np.int32)[order]
+            if length > 8:  # a key is a mix of such a piece's bytes, so a match is held against the bytes themselves
+                self.bytes[length] = np.frombuffer(b"".join(self.pieces[i] for i in self.tables[length][1]), np.uint8).reshape(-1, length)
         self.first = self.tables[1][1].copy()  # by byte
         self.longest = max(self.tables)
 
@@ -97,21 +100,22 @@ class Lattice:
             at = np.searchsorted(known, keys)
             at[at == len(known)] = 0
             found = np.where(known[at] == keys, ids[at], -1)
+            if n in self.bytes and (found >= 0).any():
+                row, start = np.nonzero(found >= 0)
+                same = (mat[row[:, None], start[:, None] + np.arange(n)] == self.bytes[n][at[row, start]]).all(1)
+                found[row[~same], start[~same]] = -1
             if (found >= 0).any():
                 out[n] = found
         return out
 
     def run(self, mat: np.ndarray, logp: np.ndarray, counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
-        """Log marginals of words of one length; with counts, adds the pieces' expected counts to expected."""
+        """Log marginals of words of one length; with counts, adds the pieces' expected counts to expected. For several rows of logp a row of results each."""
         n, length = mat.shape
         found = self.matches(mat)
-        weights = {k: np.where(ids >= 0, logp[ids], -np.inf) for k, ids in found.items()}
-        forward = np.full((n, length + 1), -np.inf)
-        forward[:, 0] = 0
-        for end in range(1, length + 1):
-            terms = [forward[:, end - k] + w[:, end - k] for k, w in weights.items() if k <= end]
-            top = np.maximum.reduce(terms)
-            forward[:, end] = top + np.log(sum(np.exp(t - top) for t in terms))
+        if logp.ndim > 1:
+            return np.stack([self._forward(found, p, n, length)[:, length] for p in logp])
+        forward = self._forward(found, logp, n, length)
+        weights = self._weights(found, logp) if expected is not None else {}
         if expected is not None:
             backward = np.full((n, length + 1), -np.inf)
             backward[:, length] = 0
@@ -126,6 +130,20 @@ class Lattice:
                 expected += np.bincount(found[k][row, at], weights=p, minlength=len(expected))
         return forward[:, length]
 
+    @staticmethod
+    def _weights(found: dict[int, np.ndarray], logp: np.ndarray) -> dict[int, np.ndarray]:
+        return {k: np.where(ids >= 0, logp[ids], -np.inf) for k, ids in found.items()}
+
+    def _forward(self, found: dict[int, np.ndarray], logp: np.ndarray, n: int, length: int) -> np.ndarray:
+        weights = self._weights(found, logp)
+        forward = np.full((n, length + 1), -np.inf)
+        forward[:, 0] = 0
+        for end in range(1, length + 1):
+            terms = [forward[:, end - k] + w[:, end - k] for k, w in weights.items() if k <= end]
+            top = np.maximum.reduce(terms)
+            forward[:, end] = top + np.log(sum(np.exp(t - top) for t in terms))
+        return forward
+
     def long_word(self, word: bytes, logp: np.ndarray, count: float = 0, expected: np.ndarray | None = None) -> float:
         """The same for one long word: pieces are looked up in blocks, the recursion walks the positions."""
         data = np.frombuffer(word, dtype=np.uint8)
@@ -159,8 +177,8 @@ class Lattice:
         return forward[n]
 
     def words(self, words: list[bytes], logp: np.ndarray, counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
-        """Log marginals of words (without the leading mark) in their order; END is the end."""
-        out = np.zeros(len(words))
+        """Log marginals of words (without the leading mark) in their order; END is the end. For several rows of logp a row of results each."""
+        out = np.zeros((*logp.shape[:-1], len(words)))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lengths, kind="stable")
         bounds = np.flatnonzero(np.diff(lengths[order], prepend=-1))
@@ -171,7 +189,7 @@ class Lattice:
                 own = order[c : min(c + step, b)]
                 if size == 2:
                     ends = np.array([words[i] == END.encode() for i in own], bool)
-                    out[own[ends]] = logp[self.end]
+                    out[..., own[ends]] = logp[..., self.end, None]
                     if expected is not None:
                         expected[self.end] += counts[own[ends]].sum()
                     own = own[~ends]
@@ -179,10 +197,11 @@ class Lattice:
                     continue
                 if size > 64 and len(own) < size // 8 or size > 2000:
                     for i in own:
-                        out[i] = self.long_word(b" " + words[i], logp, 0 if counts is None else float(counts[i]), expected)
+                        each = [self.long_word(b" " + words[i], p, 0 if counts is None else float(counts[i]), expected) for p in np.atleast_2d(logp)]
+                        out[..., i] = each if logp.ndim > 1 else each[0]
                     continue
                 mat = np.frombuffer(b"".join(b" " + words[i] for i in own), dtype=np.uint8).reshape(len(own), size)
-                out[own] = self.run(mat, logp, None if counts is None else counts[own].astype(float), expected)
+                out[..., own] = self.run(mat, logp, None if counts is None else counts[own].astype(float), expected)
         return out
 
 
@@ -192,32 +211,29 @@ def lattice(path: str) -> Lattice:
 
 
 def word_counts(docs: DataFrame, text: str, train, flush: int = 200_000) -> DataFrame:
-    """(word, c): every word of the corpus with its count in the training texts, the end included. Counting starts in the tasks."""
+    """(word, c, d): every word of the corpus with its count in the training texts, and in all texts; the end included. Counting starts in the tasks."""
 
     def count(batches):
-        seen: Counter = Counter()
         known: Counter = Counter()
+        held: Counter = Counter()
 
         def rows():
-            words = list(seen.keys() | known.keys())
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([known[w] for w in words], pa.int64())], ["word", "c"])
+            words = list(known.keys() | held.keys())
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([known[w] for w in words], pa.int64()), pa.array([known[w] + held[w] for w in words], pa.int64())], ["word", "c", "d"])
 
         for batch in batches:
             for raw, learn in zip(as_bytes(batch.column(0)).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = (raw or b"").lower().split()
-                if learn:
-                    known.update(words)
-                    known[END.encode()] += 1
-                else:
-                    seen.update(dict.fromkeys(words, 0))
-                if len(seen) + len(known) > flush:
+                own = known if learn else held
+                own.update((raw or b"").lower().split())
+                own[END.encode()] += 1
+                if len(known) + len(held) > flush:
                     yield rows()
-                    seen.clear()
                     known.clear()
-        if seen or known:
+                    held.clear()
+        if known or held:
             yield rows()
 
-    return docs.select(F.col(text).alias("text"), train.alias("learn")).mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(F.col(text).alias("text"), train.alias("learn")).mapInArrow(count, "word string, c long, d long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
 
 
 def fit(words: DataFrame, path: str, rounds: int = 3, pseudo: float = 1000.0) -> np.ndarray:
@@ -244,50 +260,53 @@ def fit(words: DataFrame, path: str, rounds: int = 3, pseudo: float = 1000.0) ->
 
 
 def marginals(words: DataFrame, path: str, logp: np.ndarray) -> DataFrame:
-    """words with lp, the log10 of each word's marginal probability."""
+    """words with lp and vp, the log10 of each word's marginal probability by logp and by the vocabulary's own weights."""
 
     def run(batches):
         grid = lattice(path)
+        both = np.stack([logp, np.log(grid.prior)])
         for batch in batches:
-            lp = grid.words(as_bytes(batch.column(0)).to_pylist(), logp) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lp)], ["word", "c", "lp"])
+            lp, vp = grid.words(as_bytes(batch.column(0)).to_pylist(), both) / math.log(10)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp), pa.array(vp)], ["word", "c", "d", "lp", "vp"])
 
-    return words.select("word", "c").mapInArrow(run, "word string, c long, lp double")
+    return words.select("word", "c", "d").mapInArrow(run, "word string, c long, d long, lp double, vp double")
 
 
 def lattice_scores(docs: DataFrame, path: str, train, doc_id: str = "doc_id", text: str = "text", held_out=None, rounds: int = 3, common: int = 60_000) -> DataFrame:
-    """A row for each text: its id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10 probabilities).
+    """A row for each text: its id, held_out, n_tokens, n_known, train_tokens, base_score, score and vocabulary_score (all three log10 probabilities).
 
     path: the vocabulary file. train: a boolean column that picks the texts to learn from. common: how many of the most
-    frequent words travel with the code to the tasks (a fixed bound); all other words meet their figures in a join by word, which
+    frequent words of all texts travel with the code to the tasks (a fixed bound); all other words meet their figures in a join by word, which
     no frequent word can make uneven.
     """
     held_out = ~train if held_out is None else held_out
     counted = cut(word_counts(docs, text, train))
     logp = fit(counted, path, rounds)
-    words = cut(marginals(counted, path, logp))
+    words = cut(marginals(counted, path, logp), instead=counted)
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     scale = math.log10(total + distinct + 1)
     # classes of counts, some thousand at most: from the highest down, those that hold no more than `common` words together
-    level = F.floor(F.log2("c") * 16).cast("int")
+    level = F.floor(F.log2("d") * 16).cast("int")
     least, held = 1 << 30, 0
-    for k, n in sorted(words.where("c > 0").groupBy(level.alias("k")).agg(F.count("*").alias("n")).collect(), reverse=True):
+    for k, n in sorted(words.groupBy(level.alias("k")).agg(F.count("*").alias("n")).collect(), reverse=True):
         if held + n > common:
             break
         least, held = k, held + n
-    top = words.where((F.col("c") > 0) & (level >= least)).toPandas()
+    top = words.where(level >= least).toPandas()
     hot = {w.encode(): i for i, w in enumerate(top["word"])}
-    hot_c, hot_lp = top["c"].to_numpy(np.int64), top["lp"].to_numpy(float)
-    shipped = docs.sparkSession.sparkContext.broadcast((hot, np.log10(hot_c + 1.0), hot_c > 0, hot_lp))  # at most `common` words
-    end_lp = float(logp[-1]) / math.log(10)
+    hot_c = top["c"].to_numpy(np.int64)
+    figures = np.stack([(hot_c > 0).astype(float), np.log10(hot_c + 1.0), top["lp"].to_numpy(float), top["vp"].to_numpy(float)], 1)  # for a word: known, base, score, vocabulary score
     end_c = int((words.where(F.col("word") == END).select("c").first() or [0])[0])
-    names = ["key", "word", "n", "doc_id", "held_out", "n_tokens", "n_known", "base", "lp"]
+    end = np.array([end_c > 0, math.log10(end_c + 1), float(logp[-1]) / math.log(10), math.log10(lattice(path).prior[-1])], float)
+    shipped = docs.sparkSession.sparkContext.broadcast((hot, figures))  # at most `common` words
+    names = ["key", "word", "n", "doc_id", "held_out", "n_tokens", "n_known", "base", "lp", "vp"]
+    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
 
     def score(batches):
-        hot, base, known, lp = shipped.value
+        hot, figures = shipped.value
         for whole in batches:
             for batch, raw in slices(whole, "text", 2000, 4 << 20):
-                out = [[] for _ in range(9)]
+                out = [[] for _ in names]
                 for key, doc, held, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), raw.to_pylist(), strict=True):
                     tokens = (data or b"").lower().split()
                     own, rare = [], []
@@ -295,8 +314,8 @@ def lattice_scores(docs: DataFrame, path: str, train, doc_id: str = "doc_id", te
                         i = hot.get(w)
                         (rare if i is None else own).append((w if i is None else i, n))
                     at = np.array([i for i, _ in own], np.int64)
-                    times = np.array([n for _, n in own], np.int64)
-                    row = (key, f" {key}", 1, doc, held, len(tokens) + 1, int(times[known[at]].sum()) + (end_c > 0), float((times * base[at]).sum()) + math.log10(end_c + 1), float((times * lp[at]).sum()) + end_lp)
+                    sums = np.array([n for _, n in own], float) @ figures[at] + end
+                    row = (key, f" {key}", 1, doc, held, len(tokens) + 1, int(sums[0]), *sums[1:].tolist())
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
                     if rare:
@@ -306,11 +325,11 @@ def lattice_scores(docs: DataFrame, path: str, train, doc_id: str = "doc_id", te
                         out[2] += [n for _, n in rare]
                         for column in out[3:]:
                             column += [None] * k
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
-    parts = rows.mapInArrow(score, "key long, word string, n long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lp double")
-    joined = parts.join(words.select("word", F.col("c").alias("wc"), F.col("lp").alias("wlp")), "word", "left")
+    parts = rows.mapInArrow(score, "key long, word string, n long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lp double, vp double")
+    joined = parts.join(words.select("word", F.col("c").alias("wc"), F.col("lp").alias("wlp"), F.col("vp").alias("wvp")), "word", "left")
     own = F.col("n_tokens").isNotNull()
     return (
         joined.groupBy("key")
@@ -321,8 +340,9 @@ def lattice_scores(docs: DataFrame, path: str, train, doc_id: str = "doc_id", te
             F.sum(F.when(own, F.col("n_known")).when(F.col("wc") > 0, F.col("n")).otherwise(0)).alias("n_known"),
             F.sum(F.when(own, F.col("base")).otherwise(F.col("n") * F.log10(F.col("wc") + 1))).alias("base"),
             F.sum(F.when(own, F.col("lp")).otherwise(F.col("n") * F.col("wlp"))).alias("score"),
+            F.sum(F.when(own, F.col("vp")).otherwise(F.col("n") * F.col("wvp"))).alias("vocabulary_score"),
         )
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(scale)).alias("base_score"), "score")
+        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(scale)).alias("base_score"), "score", "vocabulary_score")
     )
 
 

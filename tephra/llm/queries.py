@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from . import avi, bpe, langid, lattice, licences, mih, mixing, quality, sharding, simhash
 from .common import fold, table
 
-UNIGRAM_FILE = public_tokenizers.path("piece_bpe_32k.model")
+#: The public vocabulary files hold no unigram model: this one has merged pieces, whose scores are negative ranks.
+PIECE_FILE = public_tokenizers.path("piece_bpe_32k.model")
 BPE_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.lattice_scores(table(spark, sf_dir, "documents"), UNIGRAM_FILE, fold("doc_id", 7) != 2)
+    return lattice.lattice_scores(table(spark, sf_dir, "documents"), PIECE_FILE, fold("doc_id", 7) != 2)
 
 
 def op2_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

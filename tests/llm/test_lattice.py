@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from public_tokenizers import path
+from pyspark.sql import functions as F
 
 from tephra.llm import lattice
 from tephra.llm.queries import op1_lattice_likelihood
@@ -104,3 +105,53 @@ def test_query(spark):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[r["doc_id"]][1:4]
         assert r["base_score"] == pytest.approx(want[r["doc_id"]][4])
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
+
+
+def test_query_scores_equal_enumeration(spark):
+    """Both scores of every document, from sums over all segmentations of its words as plain probabilities."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    grid = lattice.lattice(FILE)
+    learned = np.exp(lattice.fit(lattice.word_counts(docs, "text", lattice.folds()), FILE))
+    ids = {piece: i for i, piece in enumerate(grid.pieces[:-1])}
+    found = {}
+
+    def enumerate_all(word, p):
+        total = [1.0] + [0.0] * len(word)
+        for end in range(1, len(word) + 1):
+            total[end] = sum(total[s] * p[ids[word[s:end]]] for s in range(max(0, end - grid.longest), end) if word[s:end] in ids)
+        return math.log10(total[-1])
+
+    def log10(word, p, which):
+        if (word, which) not in found:
+            found[word, which] = math.log10(p[grid.end]) if word == b" " else enumerate_all(b" " + word, p)
+        return found[word, which]
+
+    texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() + [b" "] for r in docs.collect()}
+    rows = op1_lattice_likelihood(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        own = texts[r["doc_id"]]
+        assert r["score"] == pytest.approx(sum(log10(w, learned, 0) for w in own), rel=1e-6)
+        assert r["vocabulary_score"] == pytest.approx(sum(log10(w, grid.prior, 1) for w in own), rel=1e-6)
+
+
+def test_a_word_that_only_held_out_texts_have_travels_too(spark):
+    docs = spark.createDataFrame([(i, "common " * 5 + f"rare{i}", i % 2 == 0) for i in range(20)] + [(100 + i, "heldonly " * 50, False) for i in range(20)], "doc_id long, text string, learn boolean")
+    rows = {r["word"]: (r["c"], r["d"]) for r in lattice.word_counts(docs, "text", F.col("learn")).collect()}
+    assert rows["heldonly"] == (0, 1000) and rows["common"] == (50, 100) and rows[lattice.END] == (10, 40)
+    some = [sorted(tuple(r) for r in lattice.lattice_scores(docs, FILE, F.col("learn"), common=k).collect()) for k in (0, 2, 1000)]
+    for a, b, c in zip(*some, strict=True):
+        assert a == pytest.approx(b) and a == pytest.approx(c)
+
+
+def test_long_pieces_are_held_against_their_bytes():
+    grid = lattice.Lattice(FILE)
+    n = max(grid.bytes)
+    keys, ids = grid.tables[n]
+    piece = grid.pieces[int(ids[0])]
+    mat = np.frombuffer(piece, np.uint8)[None, :]
+    assert grid.matches(mat)[n][0, 0] == ids[0]
+    grid.bytes[n] = grid.bytes[n].copy()
+    grid.bytes[n][0, 3] ^= 1  # as if another text had the same mix
+    assert n not in grid.matches(mat)
