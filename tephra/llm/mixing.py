@@ -91,8 +91,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     """A row for each document: doc_id, size, source_size, target, taken; and copies, at most `most`, rounded up."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     each = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"), mark_of(text, source).alias("mark"))
-    rows = cut(_told_apart(each.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("n"))))
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    held = cut(each.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("n")))
+    rows = _told_apart(held)
+    sums = held.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
     goal = cut(targets(sums, weights, share, most).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)).cast("long")).withColumn("sid", F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))))
     same = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     joined = rows.withColumn("k", same).join(goal.select(same.alias("k"), "sid", "source_size", "target", "blocks"), "k")
