@@ -101,3 +101,9 @@ def parse_sim(df: DataFrame, sim: str = "sim") -> DataFrame:
     names = ["activity", "institution", "gcm", "scenario"]
     df = df.withColumns({c: sim_part(s, i) for i, c in enumerate(names)})
     return df.withColumns({"table_id": F.when(n >= 7, sim_part(s, 4)), "grid_label": F.when(n >= 7, sim_part(s, 5)), "member": F.when(n >= 7, sim_part(s, 6)).when(n == 5, sim_part(s, 4))})
+
+
+def looked_up(key: Column, values: dict, default=None) -> Column:
+    """The value of a small fixed map at the key, or the default where it has none."""
+    pairs = [F.lit(x) for item in values.items() for x in item]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))

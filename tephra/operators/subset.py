@@ -142,3 +142,9 @@ def pick_simulations(df: DataFrame, sim: str, metric: str, middle: float = 0.1)
 def expand_name(name: str) -> str:
     """File-safe form of a name."""
     return re.sub(r"[^A-Za-z0-9_.-]+", "_", name.strip())
+
+
+def insert_at(df: DataFrame, position: int, name: str, value: Column) -> DataFrame:
+    """df with a new column at a position from 0; one of that name moves there."""
+    rest = [F.col(c) for c in df.columns if c != name]
+    return df.select(*rest[:position], value.alias(name), *rest[position:])

@@ -1,6 +1,6 @@
 """All queries of the climate operators, and their SQL."""
 
-from . import more_queries, series_queries, subset_queries  # noqa: F401  register on import
+from . import compound_queries, more_queries, series_queries, subset_queries  # noqa: F401  register on import
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

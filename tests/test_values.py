@@ -168,3 +168,36 @@ def test_outlines_are_of_every_cell(spark):
     assert set(got) == {x for (x,) in con.execute("SELECT DISTINCT l_suppkey FROM lineitem").fetchall()} and len(got) > 100
     for cell, *sides in con.execute(ORACLES["J44_cell_outlines"]).fetchall():  # the SQL has the cells below 100
         assert got[cell] == pytest.approx(tuple(sides))
+
+
+def test_interpolation_equals_numpy(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tephra.operators.bias import interpolated
+
+    g = np.random.default_rng(4)
+    rows = []
+    for i in range(60):
+        xs = np.sort(np.round(g.normal(size=7), 1))  # with ties
+        rows.append((i, float(xs[i % 7] if i % 3 == 0 else g.normal() * 2), xs.tolist(), g.normal(size=7).tolist()))
+    df = spark.createDataFrame([*rows, (99, None, [1.0], [2.0]), (98, 5.0, None, [2.0])], "id int, x double, xs array<double>, ys array<double>")
+    got = {r["id"]: r["y"] for r in df.select("id", interpolated(F.col("x"), F.col("xs"), F.col("ys")).alias("y")).collect()}
+    assert got.pop(99) is None and got.pop(98) is None
+    for i, x, xs, ys in rows:
+        k = int(np.searchsorted(xs, x, side="right"))
+        want = ys[0] if k == 0 else ys[-1] if k >= 7 else ys[k - 1] + (ys[k] - ys[k - 1]) * (x - xs[k - 1]) / (xs[k] - xs[k - 1])
+        assert abs(got[i] - want) < 1e-12 and (len(set(xs)) < 7 or abs(got[i] - np.interp(x, xs, ys)) < 1e-9)
+
+
+def test_sea_cells_do_not_dilute_a_stress_event(spark):
+    from pyspark.sql import functions as F
+
+    from tephra.operators import events
+
+    rows = [("a", c, f"2001-07-0{t}", 40.0 if c < 2 else None, 25.0 if c < 2 else None) for c in range(10) for t in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "sim string, cell int, t string, tmax double, tmin double").withColumn("time", F.col("t").cast("date"))
+    state = events.spatial_condition(df, ["sim", "time"], F.col("tmax") > 35, 0.5, "tmax")
+    assert [str(r["time"]) for r in events.stress_events(df, state, 35, 20, days=3).collect()] == ["2001-07-03"]
+    none = df.select("cell").where("cell > 5")
+    assert events.stress_events(df, state, 35, 20, days=3, mask=none).count() == 0
