@@ -74,9 +74,54 @@ def standardised_index(df: DataFrame, keys: list[str], calibration: tuple[int, i
     return groups.groupBy(*keys, "__month").applyInPandas(run, df.withColumn("index", F.lit(0.0)).schema)
 
 
+def palmer_spells(z: np.ndarray) -> np.ndarray:
+    """Palmer's index of monthly moisture anomalies z: three sums x(t) = 0.897 x(t-1) + z(t) / 3 are kept, of a wet spell that may begin (0 or more), of a dry
+    one (0 or less) and of the spell that holds. A beginning sum of 1 makes a spell hold. It ends once the excess over 0.15 of its months against it reaches what
+    it takes to bring the sum to 0.5 in one month. Months in doubt wait for the outcome: if the spell goes on they take its sum, if it ends those of the spell
+    that begins; without a spell, the sum that outlasts the other. Still in doubt at the end: the spell's sum, or the larger one."""
+    out, doubt = np.zeros(len(z)), []
+    wet = dry = held = against = 0.0
+
+    def settle(which: int) -> None:
+        """Back in time; where the sum taken has not begun, the other beginning one is taken from there."""
+        while doubt:
+            t, sums = doubt.pop()
+            if which < 2 and sums[which] == 0:
+                which = 1 - which
+            out[t] = sums[which]
+
+    for t, a in enumerate(z):
+        wet, dry = max(0.0, 0.897 * wet + a / 3), min(0.0, 0.897 * dry + a / 3)
+        ended = None
+        if held:
+            need = 2.691 * abs(held) - 1.5 + against
+            against = max(0.0, against + 0.15 - np.sign(held) * a)
+            if against > 0 and against >= need:
+                ended, held, against = (1 if held > 0 else 0), 0.0, 0.0
+            else:
+                held = 0.897 * held + a / 3
+                doubt.append((t, (wet, dry, held)))
+                if against == 0:
+                    settle(2)
+                    wet = dry = 0.0
+                continue
+        doubt.append((t, (wet, dry, 0.0)))
+        begun = 0 if wet >= 1 else 1 if dry <= -1 else None
+        if begun is not None:
+            settle(begun)
+            held, wet, dry = (wet, dry)[begun], 0.0, 0.0
+        elif ended is not None:
+            settle(ended)
+        elif wet == 0 or dry == 0:
+            settle(0 if dry == 0 else 1)
+    for t, sums in doubt:
+        out[t] = sums[2] if held else max(sums[:2], key=abs)
+    return out
+
+
 def palmer(df: DataFrame, keys: list[str], capacity_in: float = 6.0, calibration: tuple[int, int] = (0, 9999), time: str = "time", precip: str = "precip", pet: str = "pet") -> DataFrame:
     """Palmer drought severity index of monthly precipitation and PET (inches): a two-layer water balance, its calibrated climatic departures, and the
-    index's recursion x(t) = 0.897 x(t-1) + z(t) / 3. The recursion needs a series in order, so each series is one group; it has a row a month."""
+    index of `palmer_spells`. It needs a series in order, so each series is one group; it has a row a month. Missing values count as 0."""
 
     def run(pdf):
         pdf = pdf.sort_values(time)
@@ -114,10 +159,7 @@ def palmer(df: DataFrame, keys: list[str], capacity_in: float = 6.0, calibration
         k1 = np.where(big_d > 0, 1.5 * np.log10(np.maximum(1e-9, (demand + 2.8) / np.maximum(big_d, 1e-9))) + 0.5, 0.0)
         total = (big_d * k1).sum()
         z = d * (17.67 * k1 / total if total > 0 else 0 * k1)[month]
-        x = np.zeros(n)
-        for t in range(n):
-            x[t] = 0.897 * (x[t - 1] if t else 0.0) + z[t] / 3
-        return pdf.assign(z_index=z, pdsi=x)
+        return pdf.assign(z_index=z, pdsi=palmer_spells(z))
 
     return df.groupBy(*keys).applyInPandas(run, df.withColumn("z_index", F.lit(0.0)).withColumn("pdsi", F.lit(0.0)).schema)
 

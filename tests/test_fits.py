@@ -121,3 +121,21 @@ def test_registered_fits_and_mappings_have_the_whole_window(spark, monkeypatch):
     for name in ("J04_fit_with_ks", "J05_quantile_delta_mapping"):
         catalog_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert seen["half_window"] == 45 and seen["bootstraps"] == 100
+
+
+def test_palmer_spells():
+    recursion = lambda z, x=0.0: [x := 0.897 * x + a / 3 for a in z]
+    z = [-1.0] * 12
+    assert np.allclose(indices.palmer_spells(np.array(z)), recursion(z))  # only dry: one sum throughout
+    z = [-3.0] * 6 + [0.5] + [-3.0] * 3  # one wet month doesn't end a drought: the sum goes on
+    assert np.allclose(indices.palmer_spells(np.array(z)), recursion(z))
+    z = [-3.0] * 4 + [2.0, 2.0, 2.0, 2.0]  # against a sum of -3.42 it takes four wet months; from the first of them on the wet sums count
+    got = indices.palmer_spells(np.array(z))
+    assert np.allclose(got[:4], recursion(z[:4])) and np.allclose(got[4:], recursion(z[4:]))
+    z = [-3.0] * 4 + [2.0, 2.0]  # still in doubt at the end: the drought's sum
+    assert np.allclose(indices.palmer_spells(np.array(z)), recursion(z))
+    z = [0.6, -0.3, -0.9, -3.0]  # a wet sum of 0.2 and 0.079 dies away; the dry one, begun in the second month, outlasts it
+    assert np.allclose(indices.palmer_spells(np.array(z)), [0.2, -0.1, 0.897 * -0.1 - 0.3, 0.897 * (0.897 * -0.1 - 0.3) - 1.0])
+    z = np.random.default_rng(1).normal(0, 2, 400)
+    assert np.allclose(indices.palmer_spells(-z), -indices.palmer_spells(z))  # wet and dry mirror each other
+    assert indices.palmer_spells(np.zeros(0)).shape == (0,)
