@@ -48,3 +48,38 @@ def test_stateful_runs_equal_a_scan(spark):
                 want.add((kind, len(run), run[0]))
             run = []
     assert got == want
+
+
+def dropped_in(spark, folder, name, rows):
+    """One more file in a stream's folder, of (sim, hour of 2024, value)."""
+    made = spark.createDataFrame(rows, "sim string, h int, value double").withColumn("ts", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, h)")).drop("h")
+    made.coalesce(1).write.parquet(f"{folder}/{name}")
+    return series.read(spark, f"{folder}/*", made.schema)
+
+
+def test_appended_windows_go_on_from_the_checkpoint_and_drop_late_rows(spark, tmp_path):
+    where, out = str(tmp_path / "in"), str(tmp_path / "out")
+    daily = lambda s: series.resample(s, ["sim"], late="1 hour")
+    hours = lambda df: {(r["start"].day, r["n"], r["total"]) for r in df.collect()}
+    first = dropped_in(spark, where, "a", [("x", 1, 1.0), ("x", 2, None), ("x", 30, 5.0)])
+    assert hours(series.append(spark, daily(first), out)) == {(1, 1, 1.0)}  # the second day is still open
+    second = dropped_in(spark, where, "b", [("x", 3, 100.0), ("x", 31, 7.0), ("x", 60, 9.0)])
+    assert hours(series.append(spark, daily(second), out)) == {(1, 1, 1.0), (2, 2, 12.0)}  # hour 3 came after its day was final
+
+
+def test_complete_windows_only(spark, tmp_path):
+    live = dropped_in(spark, str(tmp_path / "in"), "a", [("x", 24 * d, 1.0) for d in range(5)])
+    got = series.append(spark, series.rolling(live, ["sim"], needed=3), str(tmp_path / "out")).collect()
+    assert {r["start"].day for r in got} == {1} and got[0]["total"] == 3.0  # 1 to 3 January; the window to the 4th ends after the watermark
+
+
+def test_runs_and_starts_over_several_batches(spark, tmp_path):
+    where, run_out, start_out = str(tmp_path / "in"), str(tmp_path / "runs"), str(tmp_path / "starts")
+    both = lambda s: (series.append(spark, series.running_extremes(s, "sim", 3, 0.5), run_out), series.append(spark, series.running_starts(s, "sim", 3, 0.5), start_out))
+    runs, starts = both(dropped_in(spark, where, "a", [("x", 0, 1.0), ("x", 1, 1.0), ("y", 0, None), ("y", 1, 1.0)]))
+    assert runs.count() == 0 and starts.count() == 0
+    runs, starts = both(dropped_in(spark, where, "b", [("x", 3, 1.0), ("x", 2, 1.0), ("x", 0, 0.0), ("y", 2, 1.0), ("y", 3, None)]))  # the row of hour 0 is late
+    assert runs.count() == 0 and sorted((r["sim"], r["start"].hour) for r in starts.collect()) == [("x", 0), ("x", 1)]
+    runs, starts = both(dropped_in(spark, where, "c", [("x", 4, 0.0), ("x", 5, 1.0)]))
+    assert [(r["sim"], r["start"].hour, r["end"].hour, r["length"]) for r in runs.collect()] == [("x", 0, 3, 4)]
+    assert starts.count() == 2
