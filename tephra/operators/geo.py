@@ -51,6 +51,15 @@ def region_mask(cells: DataFrame, polygons: DataFrame, cell_key: str, square: fl
     return cells.join(regions_of_points(cells, polygons, cell_key, square), cell_key, "left")
 
 
+def zones_of(points: DataFrame, zones: DataFrame, point_key: str, key: str = "zone", square: float = 5.0) -> DataFrame:
+    """Every point (lat, lon) with the name of the time zone whose polygon holds it; outside all of them, the nautical zone of its longitude.
+
+    Points without coordinates have no zone."""
+    nautical = F.round(F.col("lon") / 15).cast("int")
+    name = F.when(nautical == 0, "Etc/GMT").otherwise(F.concat(F.lit("Etc/GMT"), F.when(nautical > 0, "-").otherwise("+"), F.abs(nautical).cast("string")))
+    return points.join(regions_of_points(points, zones, point_key, square, key), point_key, "left").withColumn(key, F.coalesce(key, name))
+
+
 def flip_columns(mask: DataFrame, nx: int, x: str = "x") -> DataFrame:
     return mask.withColumn(x, F.lit(nx - 1) - F.col(x))
 

@@ -80,8 +80,8 @@ def first_of(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rank = 1").drop("__rank")
 
 
-def local_time(df: DataFrame, zone: str, time: str = "time", reindex: bool = False) -> DataFrame:
-    """UTC to local clock time; with reindex, trimmed to the range that the UTC times had."""
+def local_time(df: DataFrame, zone: str | Column, time: str = "time", reindex: bool = False) -> DataFrame:
+    """UTC to local clock time, of one zone or of the zone in a column; with reindex, trimmed to the range that the UTC times had."""
     t = F.col(time).cast("timestamp_ntz")
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), t)
     out = df.withColumn("__utc", t).withColumn(time, local)

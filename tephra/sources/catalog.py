@@ -94,6 +94,14 @@ def from_frame(df: DataFrame) -> Query:
     return Query(lambda: df)
 
 
+def from_file(spark: SparkSession, path: str, needed: tuple[str, ...] = ("sim", "warming_level", "time", "value")) -> Query:
+    """A query over a user's own Parquet file in place of the catalog; its columns must be the catalog's, checked here."""
+    df = parquet(spark, path)
+    if missing := [c for c in needed if c not in df.columns]:
+        raise ValueError(f"{path} has no {missing}; it needs {list(needed)}")
+    return Query(lambda: df)
+
+
 def from_dict(base: Query, wanted: dict) -> Query:
     """A query from one dictionary of facets and, under `processes`, steps."""
     return base.where(**{k: v for k, v in wanted.items() if k != "processes"}).processes(wanted.get("processes", {}))

@@ -22,6 +22,12 @@ def parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return df.withColumnsRenamed({a: b for a, b in DIMENSIONS.items() if a in df.columns and b not in df.columns})
 
 
+def listing(spark: SparkSession, folder: str, files: str = "*") -> DataFrame:
+    """(path, bytes) of the files below a folder whose names match; their contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", files).load(folder)
+    return found.select("path", F.col("length").alias("bytes"))
+
+
 def csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True) -> DataFrame:
     """CSV by position under a declared schema, so a byte-order mark or repeated names in the header don't matter."""
     return nan_to_null(spark.read.schema(schema).option("header", header).option("enforceSchema", True).option("nanValue", "NaN").csv(path))
