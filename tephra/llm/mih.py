@@ -13,6 +13,7 @@ a bucket of very many codes is dealt to several tasks.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, hot_keys, join_hot
 
+PROBES = 1 << 18  # that a task makes, or more where MOST_TASKS tasks wouldn't do
+MOST_TASKS = 20_000
+CELLS = 1 << 18  # probes made at once
+
 
 def sign_codes(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(id, code): bit i of the 64-bit code is the sign of component i (set if above zero), components beyond the vector's end are unset.
@@ -63,6 +68,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int | Non
     packed = spark.sparkContext.broadcast(np.packbits(filled, axis=1))
     asked = cut(queries.where("code is not null").select("query_id", F.col("code").alias("q")).distinct())
     wanted = cut(asked.select("q", F.lit(65).alias("bound")).distinct())
+    left = wanted.count()
     distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int")
     met = None
     for r in range(max(widths) + 1):
@@ -70,15 +76,20 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int | Non
         def probe(batches, r=r):
             there = np.unpackbits(packed.value, axis=1).astype(bool)
             for batch in batches:
-                for q, bound in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for s, width in enumerate(widths):
-                        for masks in masks_of(width, r):
-                            value = ((q >> edges[s]) & ((1 << width) - 1)) ^ masks
-                            value = value[there[s, value]]
-                            if len(value):
-                                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), q)), pa.array(np.full(len(value), bound, np.int32)), pa.array(np.full(len(value), s, np.int32)), pa.array(bucket(s, value))], ["q", "bound", "seg", "bucket"])
-
-        probes = wanted.repartition("q").mapInArrow(probe, "q long, bound int, seg int, bucket long")
+                q, bound = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                for s, width in enumerate(widths):
+                    own = (q >> edges[s]) & ((1 << width) - 1)
+                    for masks in masks_of(width, r):
+                        step = max(1, CELLS // len(masks))
+                        for at in range(0, len(own), step):
+                            value = own[at : at + step, None] ^ masks
+                            i, j = np.nonzero(there[s, value])
+                            if len(i):
+                                yield pa.RecordBatch.from_arrays([pa.array(q[at + i]), pa.array(bound[at + i]), pa.array(np.full(len(i), s, np.int32)), pa.array(bucket(s, value[i, j]))], ["q", "bound", "seg", "bucket"])
+
+        # a few bytes of queries become many probes: the number of tasks is by these, so it is set here and isn't lowered at run time
+        probed = left * sum(comb(w, r) for w in widths)
+        probes = wanted.repartition(max(1, min(MOST_TASKS, left, probed // PROBES)), "q").mapInArrow(probe, "q long, bound int, seg int, bucket long")
         apart = [F.bit_count(part(F.col("q").bitwiseXOR(F.col("code")), s)) for s in range(segments)]
         # the pair's least distance in a segment is r, and this is the first segment that has it
         again = F.exists(F.arrays_zip(F.array(*apart).alias("d"), F.array(*map(F.lit, range(segments))).alias("s")), lambda x: (x["d"] < r) | ((x["d"] == r) & (x["s"] < F.col("seg"))))
@@ -88,9 +99,10 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int | Non
         met = cut(near.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("distance", "least"))).where(F.col("place") <= k).drop("place"), instead=met)
         covered = segments * (r + 1) - 1
         state = met.groupBy("q").agg(F.coalesce(F.sum(F.when(F.col("distance") <= covered, F.col("rows"))), F.lit(0)).alias("n"), F.count("*").alias("codes"), F.max("distance").cast("int").alias("last"))
-        left = wanted.join(state, "q", "left").where(F.coalesce("n", F.lit(0)) < enough)
-        wanted = cut(left.select("q", F.when(F.col("codes") >= k, F.col("last")).otherwise(F.lit(65)).alias("bound")), instead=wanted)
-        if not enough or wanted.isEmpty():
+        still = wanted.join(state, "q", "left").where(F.coalesce("n", F.lit(0)) < enough)
+        wanted = cut(still.select("q", F.when(F.col("codes") >= k, F.col("last")).otherwise(F.lit(65)).alias("bound")), instead=wanted)
+        left = wanted.count()
+        if not enough or not left:
             break
     place = Window.partitionBy("q").orderBy("distance", "id")
     best = met.join(kept.hint("merge"), "code").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
