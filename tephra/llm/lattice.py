@@ -26,6 +26,7 @@ from .common import as_bytes, cut, fold, slices
 END = " "  # stands for the end of a text: no word holds white space
 MARK = "▁"
 MIX = np.uint64(0x9E3779B97F4A7C15)
+SIEVE = 18  # bits
 
 
 class Lattice:
@@ -55,12 +56,14 @@ class Lattice:
         by_length: dict[int, list[tuple[int, int]]] = {}
         for i, p in enumerate(self.pieces[:-1]):
             by_length.setdefault(len(p), []).append((self._key(p), i))
-        self.tables, self.bytes = {}, {}
+        self.tables, self.bytes, self.sieves = {}, {}, {}
         for length, found in sorted(by_length.items()):
             keys = np.array([k for k, _ in found], dtype=np.uint64)
             order = np.argsort(keys)
             assert len(np.unique(keys)) == len(keys)
             self.tables[length] = keys[order], np.array([i for _, i in found], dtype=np.int32)[order]
+            self.sieves[length] = np.zeros(1 << SIEVE, bool)  # most windows are no piece, which one look here tells
+            self.sieves[length][self._sieved(keys)] = True
             if length > 8:  # a key is a mix of such a piece's bytes, so a match is held against the bytes themselves
                 self.bytes[length] = np.frombuffer(b"".join(self.pieces[i] for i in self.tables[length][1]), np.uint8).reshape(-1, length)
         self.first = self.tables[1][1].copy()  # by byte
@@ -71,6 +74,10 @@ class Lattice:
         mat = np.frombuffer(piece, dtype=np.uint8)[None, :]
         return int(next(k for n, k in Lattice.windows(mat, {len(piece)}) if n == len(piece))[0, 0])
 
+    @staticmethod
+    def _sieved(keys: np.ndarray) -> np.ndarray:
+        return ((keys * MIX) >> np.uint64(64 - SIEVE)).view(np.int64)
+
     @staticmethod
     def windows(mat: np.ndarray, lengths) -> "iter":
         """(length, keys of all windows of that length). Up to 8 bytes a key is the bytes themselves, beyond a 64-bit mix of them."""
@@ -97,15 +104,17 @@ class Lattice:
                 out[1] = table[mat]
                 continue
             known, ids = self.tables[n]
-            at = np.searchsorted(known, keys)
-            at[at == len(known)] = 0
-            found = np.where(known[at] == keys, ids[at], -1)
-            if n in self.bytes and (found >= 0).any():
-                row, start = np.nonzero(found >= 0)
-                same = (mat[row[:, None], start[:, None] + np.arange(n)] == self.bytes[n][at[row, start]]).all(1)
-                found[row[~same], start[~same]] = -1
-            if (found >= 0).any():
-                out[n] = found
+            row, start = np.nonzero(self.sieves[n][self._sieved(keys)])
+            own = keys[row, start]
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            same = known[at] == own
+            row, start, at = row[same], start[same], at[same]
+            if n in self.bytes and len(row):
+                same = (mat[row[:, None], start[:, None] + np.arange(n)] == self.bytes[n][at]).all(1)
+                row, start, at = row[same], start[same], at[same]
+            if len(row):
+                out[n] = np.full(keys.shape, -1, np.int32)
+                out[n][row, start] = ids[at]
         return out
 
     def run(self, mat: np.ndarray, logp: np.ndarray, counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
