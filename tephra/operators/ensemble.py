@@ -42,14 +42,18 @@ def crossover(parts: DataFrame, year: str = "year") -> DataFrame:
 def density(df: DataFrame, keys: list[str], low: float, high: float, points: int = 300, factor: float = 0.5, value: str = "value") -> DataFrame:
     """Gaussian kernel density on a grid, scaled to a maximum of 1; the bandwidth is factor times the sample's deviation.
 
-    Equal values are counted once, so the grid meets distinct values only."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    Equal values are counted once, so the grid meets distinct values only. Quotients of nothing by nothing are NaN: if the grid lies so far from all values
+    (some 38 bandwidths) that every sum is 0, and at a value without any deviation. A single value has no deviation and NULL as density."""
+    counted = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
     width = df.groupBy(*keys).agg((F.stddev_samp(value) * factor).alias("h"))
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
     step = (high - low) / (points - 1)
     rows = counted.join(width, keys).select("*", grid).withColumn("x", F.lit(low) + F.col("i") * step)
-    d = rows.groupBy(*keys, "i", "x").agg(F.sum(F.col("n") * F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / F.col("h"), F.lit(2.0)))).alias("d"))
-    return d.withColumn("density", F.col("d") / F.max("d").over(Window.partitionBy(*keys))).drop("d")
+    nan = F.lit(float("nan"))
+    flat = F.when(F.col("x") == F.col("v"), nan).otherwise(0.0)
+    kernel = F.when(F.col("h") == 0, flat).otherwise(F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / F.col("h"), F.lit(2.0))))
+    d = rows.groupBy(*keys, "i", "x").agg(F.sum(F.col("n") * kernel).alias("d")).withColumn("__top", F.max("d").over(Window.partitionBy(*keys)))
+    return d.withColumn("density", F.when(F.col("__top") == 0, nan).otherwise(F.col("d") / F.col("__top"))).drop("d", "__top")
 
 
 def gcm_ranges(df: DataFrame, keys: list[str], gcm: str = "gcm", value: str = "value") -> DataFrame:

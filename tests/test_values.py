@@ -201,3 +201,30 @@ def test_sea_cells_do_not_dilute_a_stress_event(spark):
     assert [str(r["time"]) for r in events.stress_events(df, state, 35, 20, days=3).collect()] == ["2001-07-03"]
     none = df.select("cell").where("cell > 5")
     assert events.stress_events(df, state, 35, 20, days=3, mask=none).count() == 0
+
+
+def test_density_of_values_far_from_the_grid(spark):
+    import duckdb
+
+    from tephra.plans.catalog_queries import ORACLES, QUERIES
+
+    sf, con = "/root/testdata/sf0.1", duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{sf}/orders.parquet'")
+    shown = lambda d: "NaN" if d is not None and math.isnan(d) else d
+    got = sorted((r["scenario"], r["i"], shown(r["density"])) for r in QUERIES["J37_kernel_density"](spark, sf).collect())
+    assert got == sorted((s, i, shown(d)) for s, i, d in con.execute(ORACLES["J37_kernel_density"]).fetchall())
+    assert [d for s, _, d in got if s == "P"] == ["NaN"] * 41 and ("O", 40, 1.0) in got
+
+
+def test_density_of_alike_and_missing_values(spark):
+    from tephra.operators import ensemble
+
+    rows = [("alike", 2.0), ("alike", 2.0), ("between", 2.5), ("between", 2.5), ("far", 9000.0), ("far", 9001.0), ("missing", None), ("missing", None), ("one", 2.0), ("some", None), ("some", 1.0), ("some", 3.0)]
+    got = {}
+    for r in ensemble.density(spark.createDataFrame(rows, "k string, value double"), ["k"], 0.0, 4.0, points=5).orderBy("k", "i").collect():
+        got.setdefault(r["k"], []).append(r["density"])
+    assert all(len(got[k]) == 5 and all(math.isnan(d) for d in got[k]) for k in ("alike", "between", "far"))
+    assert got["missing"] == got["one"] == [None] * 5
+    h = math.sqrt(2) / 2
+    sums = [math.exp(-0.5 * ((x - 1) / h) ** 2) + math.exp(-0.5 * ((x - 3) / h) ** 2) for x in range(5)]
+    assert got["some"] == pytest.approx([s / max(sums) for s in sums])
